@@ -301,7 +301,7 @@ def ts_previous(spark, sf):
 
 
 @query("hourly_features", f"""
-SELECT * FROM (
+SELECT * REPLACE ({r('y')} AS y, {r('y_lag_1')} AS y_lag_1, {r('y_lag_24')} AS y_lag_24, {r('y_lag_168')} AS y_lag_168) FROM (
 SELECT *, {split_sql(HOURLY_MARKERS)} AS split, {_CAL}, {_CYC},
   {_fourier_sql("TIMESTAMP '2024-01-01 00:00:00'", 0, 2)}, {', '.join(f'{_lag(k)} AS y_lag_{k}' for k in (1, 24, 168))},
   {', '.join(f"{r(_roll('avg', n, n // 4))} AS y_roll_mean_{n}, {r(_roll('avg', n, n // 4) + ' - ' + _lag(1))} AS y_roll_mean_{n}_delta_lag1" for n in (24, 168))}

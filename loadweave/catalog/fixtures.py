@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loadweave.functions.timeparts import slot
-from loadweave.operators.cleaning import across_meters, resample
+from loadweave.operators.cleaning import resample
 
 # Fixed split markers of the two calendars.
 DAILY_MARKERS = ("1999-12-31 00:00:00", "2000-12-31 00:00:00", "2001-10-31 00:00:00")
@@ -32,11 +32,11 @@ FLAG_SQL = (
     "sum(l_quantity) AS y FROM lineitem GROUP BY 1, 2"
 )
 HOURLY_SQL = (
-    "SELECT 'all' AS id, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS ts, round(avg(value), 6) AS y "
+    "SELECT 'all' AS id, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS ts, round(sum(value), 2) / count(*) AS y "
     "FROM events GROUP BY 2"
 )
 TYPE_SQL = (
-    "SELECT event_type AS id, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS ts, round(sum(value), 6) AS y "
+    "SELECT event_type AS id, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS ts, round(sum(value), 2) AS y "
     "FROM events GROUP BY 1, 2"
 )
 USER_SQL = "SELECT CAST(user_id AS VARCHAR) AS id, ts, value AS y FROM events"
@@ -95,9 +95,11 @@ def user_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hourly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One community series: hourly mean over all events."""
-    events = table(spark, sf_dir, "events").select(slot("ts", "hour").alias("ts"), F.col("value").alias("y"))
-    return across_meters(events).select(F.lit("all").alias("id"), "ts", F.round("y", 6).alias("y"))
+    """One community series: hourly mean over all events (values have cents)."""
+    hours = table(spark, sf_dir, "events").groupBy(slot("ts", "hour").alias("ts")).agg(
+        (F.round(F.sum("value"), 2) / F.count("*")).alias("y")
+    )
+    return hours.select(F.lit("all").alias("id"), "ts", "y")
 
 
 def type_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,4 +107,4 @@ def type_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select(
         F.col("event_type").alias("id"), "ts", F.col("value").alias("y")
     )
-    return resample(events, "hour", "sum").withColumn("y", F.round("y", 6))
+    return resample(events, "hour", "sum").withColumn("y", F.round("y", 2))

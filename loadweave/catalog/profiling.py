@@ -223,15 +223,15 @@ def prof_month(spark, sf):
 @query("prof_weekly", f"""
 WITH u AS (SELECT CAST(l_suppkey AS VARCHAR) AS id, CAST(date_trunc('week', l_shipdate) AS TIMESTAMP) AS week_start, 'quantity' AS value_column, l_quantity AS v FROM lineitem
   UNION ALL SELECT CAST(l_suppkey AS VARCHAR), CAST(date_trunc('week', l_shipdate) AS TIMESTAMP), 'price', l_extendedprice FROM lineitem)
-SELECT id, week_start, value_column, count(v) AS "count", {r('avg(v)', 4)} AS mean, {r('stddev_samp(v)', 4)} AS std, min(v) AS "min",
-       max(v) AS "max", {r('quantile_cont(v, 0.25)', 4)} AS q25, {r('median(v)', 4)} AS median, {r('quantile_cont(v, 0.75)', 4)} AS q75,
-       {r('stddev_samp(v) / nullif(avg(v), 0)', 4)} AS cv FROM u GROUP BY 1, 2, 3""")
+SELECT id, week_start, value_column, count(v) AS "count", {r('avg(v)')} AS mean, {r('stddev_samp(v)')} AS std, min(v) AS "min",
+       max(v) AS "max", {r('quantile_cont(v, 0.25)')} AS q25, {r('median(v)')} AS median, {r('quantile_cont(v, 0.75)')} AS q75,
+       {r('stddev_samp(v) / nullif(avg(v), 0)')} AS cv FROM u GROUP BY 1, 2, 3""")
 def prof_weekly(spark, sf):
     lines = table(spark, sf, "lineitem").select(
         F.col("l_suppkey").cast("string").alias("id"), F.col("l_shipdate").alias("ts"),
         F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("price"),
     )
-    return rounded(P.weekly_statistics(lines, ["quantity", "price"]), 4, "mean", "std", "q25", "median", "q75", "cv")
+    return rounded(P.weekly_statistics(lines, ["quantity", "price"]), 6, "mean", "std", "q25", "median", "q75", "cv")
 
 
 @query("prof_stack", """

@@ -366,7 +366,10 @@ def against_benchmark(
     top = top_meters(totals, "total", n, id_col)
     both = F.array(
         F.struct(F.lit("Household total").alias("series"), F.col("total").alias("total_delivered_kwh")),
-        F.struct(F.lit(f"National average ({benchmark:,.0f} kWh)"), F.lit(float(benchmark))),
+        F.struct(
+            F.lit(f"National average ({benchmark:,.0f} kWh)").alias("series"),
+            F.lit(float(benchmark)).alias("total_delivered_kwh"),
+        ),
     )
     return top.select(id_col, F.inline(both))
 

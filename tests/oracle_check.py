@@ -31,7 +31,7 @@ def canonical(pdf: pd.DataFrame) -> list[tuple]:
     for row in pdf.itertuples(index=False, name=None):
         cells = []
         for v in row:
-            if v is None or v is pd.NaT or (isinstance(v, float) and math.isnan(v)):
+            if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and math.isnan(v)):
                 cells.append(None)
             elif hasattr(v, "isoformat"):
                 cells.append(pd.Timestamp(v).isoformat())
@@ -85,7 +85,7 @@ def main() -> None:
             problem = compare(got, want)
             notes = "" if problem else type_notes(got, want)
         except Exception as exc:  # report and go on with the next query
-            problem, took, notes = f"{type(exc).__name__}: {str(exc)[:600]}", time.time() - start, ""
+            problem, took, notes = f"{type(exc).__name__}: {str(exc)[:400]}", time.time() - start, ""
         bad += problem is not None
         print(f"{'BAD ' if problem else 'ok  '}  {name:32s} {took:6.2f}s {problem or ''} {notes}", flush=True)
     print("failed:", bad)
