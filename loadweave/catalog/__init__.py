@@ -1,6 +1,6 @@
 """All registered queries. Importing the modules fills the registry."""
 
 from loadweave.catalog.registry import QUERIES, SQL
-from loadweave.catalog import cleaning, features, forecasting, profiling  # noqa: F401
+from loadweave.catalog import cleaning, features, forecasting, models, profiling  # noqa: F401
 
 __all__ = ["QUERIES", "SQL"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
@@ -162,8 +163,12 @@ def tune(
     """
     spark = rows.sparkSession
     train_val = rows.where("split <> 'test'")
-    tagged = assign_folds(train_val, folds).persist()
-    fold_ids = [r["fold"] for r in folds.select("fold").orderBy("fold").collect()]
+    # The fold limits are a handful of rows; fixing them once keeps their
+    # derivation out of every fit.
+    limits = folds.orderBy("fold").collect()
+    fold_ids = [row["fold"] for row in limits]
+    tagged = assign_folds(train_val, spark.createDataFrame(limits, folds.schema)).persist()
+    tagged.count()
     curves: list[list[float]] = []
     trials = []
 
@@ -186,7 +191,7 @@ def tune(
                     break
         curves.append([f["WAPE"] for f in found])
         means = {m: float(np.mean([f[m] for f in found])) for m in ("WAPE", "MAE", "RMSE")}
-        trials.append((number, str(dict(params)), len(found), stopped, *means.values()))
+        trials.append((number, json.dumps(params), len(found), stopped, *means.values()))
 
     table = spark.createDataFrame(
         trials, "candidate int, params string, folds int, stopped boolean, WAPE double, MAE double, RMSE double"

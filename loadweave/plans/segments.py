@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, functions as F
@@ -22,11 +24,16 @@ def name_groups(centres: list[tuple[float, float]]) -> dict[int, str]:
 
 
 def best_of(points: DataFrame, groups: int = 3, restarts: int = 25, seed: int = 42) -> KMeansModel:
-    """Restart with different seeds and keep the lowest within-group cost."""
-    models = [
-        KMeans(featuresCol="features", predictionCol="cluster_id", k=groups, seed=seed + i).fit(points)
-        for i in range(restarts)
-    ]
+    """Restart with different seeds and keep the lowest within-group cost.
+
+    The restarts are independent jobs over the persisted points, so a small
+    pool submits several at a time.
+    """
+    def start(i: int) -> KMeansModel:
+        return KMeans(featuresCol="features", predictionCol="cluster_id", k=groups, seed=seed + i).fit(points)
+
+    with ThreadPoolExecutor(4) as pool:
+        models = list(pool.map(start, range(restarts)))
     return min(models, key=lambda m: m.summary.trainingCost)
 
 

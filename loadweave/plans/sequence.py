@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from itertools import product
@@ -68,7 +69,7 @@ def tune(df: DataFrame, windows: Sequence[int], grid: Mapping[str, Sequence[obje
         for values in product(*grid.values()):
             setting = dict(zip(grid, values)) | {"kind": kind}
             found = train(df, window, setting).metrics.where("split = 'val'").first()
-            trials.append((len(trials), window, str(setting), float(found["WAPE"]) if found else float("nan"), setting))
+            trials.append((len(trials), window, json.dumps(setting), float(found["WAPE"]) if found else float("nan"), setting))
     usable = [t for t in trials if t[3] == t[3]]
     if not usable:
         raise RuntimeError("No setting produced a validation error.")
