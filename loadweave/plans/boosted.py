@@ -162,6 +162,7 @@ def tune(
     mean exceeds the median of the earlier candidates at the same fold.
     """
     spark = rows.sparkSession
+    rows = rows.persist()
     train_val = rows.where("split <> 'test'")
     # The fold limits are a handful of rows; fixing them once keeps their
     # derivation out of every fit.
@@ -203,7 +204,7 @@ def tune(
 
     last = tail_rows(train_val, ["id"], ["ts"], horizon).select("id", "ts").withColumn("_val", F.lit(True))
     marked = train_val.join(last, ["id", "ts"], "left").withColumn("_val", F.coalesce("_val", F.lit(False)))
-    model = _fit(marked, features, y, tree_settings(winner, round_cap), "_val")
+    model = _fit(marked.persist(), features, y, tree_settings(winner, round_cap), "_val")
     holdout = score(model.transform(rows.where("split = 'test'")), y=y)
     return table, winner, holdout
 
