@@ -301,15 +301,16 @@ def ts_previous(spark, sf):
 
 
 @query("hourly_features", f"""
-SELECT * REPLACE ({r('y')} AS y, {r('y_lag_1')} AS y_lag_1, {r('y_lag_24')} AS y_lag_24, {r('y_lag_168')} AS y_lag_168) FROM (
+SELECT * REPLACE ({r('y', 9)} AS y, {r('y_lag_1', 9)} AS y_lag_1, {r('y_lag_24', 9)} AS y_lag_24, {r('y_lag_168', 9)} AS y_lag_168) FROM (
 SELECT *, {split_sql(HOURLY_MARKERS)} AS split, {_CAL}, {_CYC},
   {_fourier_sql("TIMESTAMP '2024-01-01 00:00:00'", 0, 2)}, {', '.join(f'{_lag(k)} AS y_lag_{k}' for k in (1, 24, 168))},
-  {', '.join(f"{r(_roll('avg', n, n // 4))} AS y_roll_mean_{n}, {r(_roll('avg', n, n // 4) + ' - ' + _lag(1))} AS y_roll_mean_{n}_delta_lag1" for n in (24, 168))}
+  {', '.join(f"{r(_roll('avg', n, n // 4), 9)} AS y_roll_mean_{n}, {r(_roll('avg', n, n // 4) + ' - ' + _lag(1), 9)} AS y_roll_mean_{n}_delta_lag1" for n in (24, 168))}
 FROM ({HOURLY_SQL}) WHERE ts <= TIMESTAMP '{HOURLY_MARKERS[2]}') WHERE y_lag_168 IS NOT NULL""")
 def hourly_features(spark, sf):
     """The hourly feature set on the community series (one row per hour)."""
     tagged = splits.add_split(hourly_events(spark, sf), *HOURLY_MARKERS)
     built, _ = X.feature_splits(tagged, HOURLY_FEATURES, origin="2024-01-01 00:00:00")
     waves = [c for c in built.columns if c.startswith("fourier")]
-    rest = [c for c, t in built.dtypes if t == "double" and c not in waves]
-    return rounded(rounded(built, 5, *waves), 6, *rest)
+    series_columns = [c for c in built.columns if c == "y" or c.startswith("y_")]
+    circle = [c for c in built.columns if c.startswith("cyc")]
+    return rounded(rounded(rounded(built, 5, *waves), 9, *series_columns), 6, *circle)

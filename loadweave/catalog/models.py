@@ -28,7 +28,8 @@ def _daily(spark, sf):
 def sarima_grid(spark, sf):
     """All 144 daily orders per return flag with their validation WAPE."""
     grid = arima.Grid(_DAILY_GRID)
-    return arima.grid_trials(arima.design(_daily(spark, sf), grid), grid)
+    rows = arima.design(_daily(spark, sf), grid)
+    return arima.grid_trials(rows, arima.split_moments(rows, grid), grid)
 
 
 @query("sarima_panel")

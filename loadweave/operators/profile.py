@@ -75,22 +75,38 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pairwise-complete correlation of every pair of columns, one aggregation.
 
-    A constant column gives null where ``corr`` would raise.
+    Plain sums of the values shifted by their column mean: as stable as a
+    running covariance, and simple enough to stay in generated code. A constant
+    column gives null where ``corr`` would raise.
     """
-    pairs = [(a, b) for a, b in combinations(columns, 2)] + [(a, a) for a in columns]
+    pairs = list(combinations(columns, 2))
+    shifted = df.select(*[
+        (F.col(c).cast("double") - df.agg(F.avg(F.col(c).cast("double"))).scalar()).alias(c) for c in columns
+    ])
 
-    def pair(a: str, b: str) -> Column:
+    def sums(a: str, b: str) -> list[Column]:
         both = F.col(a).isNotNull() & F.col(b).isNotNull()
         x, z = F.when(both, F.col(a)), F.when(both, F.col(b))
-        return safe_ratio(F.covar_samp(x, z), F.stddev_samp(x) * F.stddev_samp(z))
+        terms = {"n": F.when(both, F.lit(1.0)), "x": x, "z": z, "xx": x * x, "zz": z * z, "xz": x * z}
+        return [F.sum(t).alias(f"{a}__{b}__{name}") for name, t in terms.items()]
 
-    wide = df.agg(*[pair(a, b).alias(f"{a}__{b}") for a, b in pairs])
-    rows = []
+    wide = shifted.agg(
+        *[s for a, b in pairs for s in sums(a, b)],
+        *[(F.max(c) > F.min(c)).alias(f"{c}__varies") for c in columns],
+    )
+
+    def corr(a: str, b: str) -> Column:
+        n, x, z, xx, zz, xz = (F.col(f"{a}__{b}__{t}") for t in ("n", "x", "z", "xx", "zz", "xz"))
+        vary = F.col(f"{a}__varies") & F.col(f"{b}__varies")
+        spread = F.sqrt(F.greatest(xx - x * x / n, F.lit(0.0)) * F.greatest(zz - z * z / n, F.lit(0.0)))
+        return F.when(vary & (n > 1), safe_ratio(xz - x * z / n, spread))
+
+    cells = [(c, c, F.when(F.col(f"{c}__varies"), F.lit(1.0))) for c in columns]
     for a, b in pairs:
-        value = F.col(f"{a}__{b}").alias("corr")
-        rows.append(F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), value))
-        if a != b:
-            rows.append(F.struct(F.lit(b).alias("column_a"), F.lit(a).alias("column_b"), value))
+        cells += [(a, b, corr(a, b)), (b, a, corr(a, b))]
+    rows = [
+        F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), value.alias("corr")) for a, b, value in cells
+    ]
     return wide.select(F.inline(F.array(*rows)))
 
 
@@ -284,7 +300,9 @@ def weekly_statistics(df: DataFrame, values: Sequence[str], id_col: str = "id",
         F.min("value").alias("min"),
         F.max("value").alias("max"),
     )
-    quartiles = exact_quantiles(long, keys, "value", {"q25": 0.25, "median": 0.5, "q75": 0.75})
+    quartiles = exact_quantiles(
+        long, keys, "value", {"q25": 0.25, "median": 0.5, "q75": 0.75}, small_groups=True
+    )
     return moments.join(quartiles, keys, "left").withColumn("cv", safe_ratio(F.col("std"), F.col("mean")))
 
 

@@ -35,11 +35,14 @@ def exact_quantiles(
     value: str,
     probs: Mapping[str, float],
     bins_per_unit: int = 256,
+    small_groups: bool = False,
 ) -> DataFrame:
     """One row per group with the requested quantiles of ``value``.
 
     Rows with a null key or a null/NaN value are left out, as a group-by in
-    pandas leaves them out.
+    pandas leaves them out. With many small groups the bins hardly reduce the
+    data; ``small_groups`` then counts per distinct value once, right after the
+    scan, and both steps share that table instead of reading the input twice.
     """
     keys = list(keys)
     v = F.col("_v")
@@ -47,14 +50,18 @@ def exact_quantiles(
         df.select(*keys, F.col(value).cast("double").alias("_v"))
         .where(v.isNotNull() & ~F.isnan(v))
         .na.drop(subset=keys)
-        .withColumn("_bin", value_bin(v, bins_per_unit))
     )
+    if small_groups:
+        rows = rows.groupBy(*keys, "_v").agg(F.count("*").alias("_w"))
+    else:
+        rows = rows.withColumn("_w", F.lit(1))
+    rows = rows.withColumn("_bin", value_bin(v, bins_per_unit))
 
     group = Window.partitionBy(*keys)
     running = group.orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     bins = (
         rows.groupBy(*keys, "_bin")
-        .agg(F.count("*").alias("_c"))
+        .agg(F.sum("_w").alias("_c"))
         .withColumn("_through", F.sum("_c").over(running))
         .withColumn("_n", F.sum("_c").over(group))
         .withColumn("_before", F.col("_through") - F.col("_c"))
@@ -73,7 +80,7 @@ def exact_quantiles(
     values = (
         rows.join(targets, [*keys, "_bin"])
         .groupBy(*keys, "_bin", "_n", "_before", "_v")
-        .agg(F.count("*").alias("_c"))
+        .agg(F.sum("_w").alias("_c"))
         .withColumn("_end", F.col("_before") + F.sum("_c").over(in_bin))
         .withColumn("_start", F.col("_end") - F.col("_c"))
     )

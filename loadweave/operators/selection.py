@@ -45,10 +45,12 @@ QUICK_SEASONAL = ((1, 1, 1), (0, 1, 1))
 
 def grid_array(orders: Sequence[Order]) -> Column:
     """The grid as an array literal of structs carrying their index."""
-    return F.array(*[
-        F.struct(F.lit(i).alias("candidate"), *[F.lit(v).alias(n) for n, v in zip(ORDER_FIELDS, o)])
+    fields = ("candidate", *ORDER_FIELDS)
+    rows = [
+        "named_struct(" + ", ".join(f"'{n}', {int(v)}" for n, v in zip(fields, (i, *o))) + ")"
         for i, o in enumerate(orders)
-    ])
+    ]
+    return F.expr(f"array({', '.join(rows)})")
 
 
 def candidates_per_series(lengths: DataFrame, orders: Sequence[Order], n: str = "n") -> DataFrame:

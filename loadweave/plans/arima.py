@@ -89,11 +89,19 @@ def _differenced(column: str, weights: dict[int, float], w) -> Column:
     return total
 
 
+def _partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def design(df: DataFrame, grid: Grid, use_log: bool = False) -> DataFrame:
     """One row per (meter, differencing variant, time) with every regressor."""
     ensure_checkpoint_dir(df.sparkSession)
     y = log_forward(F.col("y")) if use_log else F.col("y")
-    base = df.select("id", "ts", "split", F.col("y").alias("actual"), y.cast("double").alias("y"), *grid.exog)
+    # One shuffle by meter serves every window below. The count is explicit
+    # because the work per row is far larger than its bytes suggest.
+    base = df.select(
+        "id", "ts", "split", F.col("y").alias("actual"), y.cast("double").alias("y"), *grid.exog
+    ).repartition(_partitions(df), "id")
 
     by_id = Window.partitionBy("id").orderBy("ts")
     per_variant = []
@@ -139,16 +147,27 @@ def _solve_rows(moments: DataFrame, k: int) -> DataFrame:
     return moments.mapInPandas(fit, schema)
 
 
-def fit_candidates(rows: DataFrame, grid: Grid, parts: Sequence[str] = ("train",)) -> DataFrame:
+def split_moments(rows: DataFrame, grid: Grid) -> DataFrame:
+    """(id, variant, parts): the moment matrix of train and of val, side by side.
+
+    Cut off from the design by a checkpoint: every later fit reads only these
+    k x k matrices.
+    """
+    known = rows.where("split <> 'test'")
+    moments = moment_matrix(known, ["id", "variant", "split"], [*grid.columns, "w"])
+    # Two entries per key: one per split.
+    return moments.groupBy("id", "variant").agg(
+        F.collect_list(F.struct("split", "moments", "rows")).alias("parts")
+    ).checkpoint()
+
+
+def fit_candidates(moments: DataFrame, grid: Grid, parts: Sequence[str] = ("train",)) -> DataFrame:
     """(id, candidate, orders, beta, rows, status) for every candidate order.
 
     Never raises for a series: a candidate with too few rows or no finite
     solution says so in ``status``.
     """
     k = len(grid.columns)
-    moments = moment_matrix(
-        rows.where(F.col("split").isin(*parts)), ["id", "variant"], [*grid.columns, "w"]
-    )
     orders = [tuple(o) for o in grid.orders]
     used = [grid.used(o) for o in orders]
     variants = [grid.variant_of(o) for o in orders]
@@ -157,14 +176,18 @@ def fit_candidates(rows: DataFrame, grid: Grid, parts: Sequence[str] = ("train",
         for batch in batches:
             out = []
             for row in batch.itertuples(index=False):
-                gram = unpack(row.moments, k + 1)
+                chosen = [part for part in row.parts if part["split"] in parts]
+                if not chosen:
+                    continue
+                gram = unpack(np.sum([part["moments"] for part in chosen], axis=0), k + 1)
+                count = float(sum(part["rows"] for part in chosen))
                 for i, order in enumerate(orders):
                     if variants[i] != row.variant:
                         continue
                     beta = solve(gram, k, independent(gram, used[i]))[:k]
-                    short = row.rows < 2 * max(1, len(used[i]))
+                    short = count < 2 * max(1, len(used[i]))
                     status = "too short" if short else "ok" if np.isfinite(beta).all() else "not finite"
-                    out.append((row.id, i, *order, row.variant, beta.tolist(), row.rows, status))
+                    out.append((row.id, i, *order, row.variant, beta.tolist(), count, status))
             yield pd.DataFrame(out, columns=["id", "candidate", *ORDER_FIELDS, "variant", "beta", "rows", "status"])
 
     schema = (
@@ -248,6 +271,8 @@ def forecast(rows: DataFrame, fits: DataFrame, grid: Grid, known: Sequence[str],
 
     needed = window.select("id", "variant", "ts", "actual", "y", "w", "e", "_ahead", *xcols)
     usable = fits.where("status = 'ok'").select("id", "variant", "candidate", "beta")
+    n = _partitions(rows)
+    needed, usable = needed.repartition(n, "id", "variant"), usable.repartition(n, "id", "variant")
     return needed.groupBy("id", "variant").cogroup(usable.groupBy("id", "variant")).applyInPandas(
         run, "id string, candidate int, ts timestamp_ntz, actual double, y_hat double"
     )
@@ -262,12 +287,14 @@ class ArimaResult:
     metrics: DataFrame
 
 
-def grid_trials(rows: DataFrame, grid: Grid, use_log: bool = False, lengths: DataFrame | None = None) -> DataFrame:
+def grid_trials(
+    rows: DataFrame, moments: DataFrame, grid: Grid, use_log: bool = False, lengths: DataFrame | None = None
+) -> DataFrame:
     """Validation WAPE of every admissible candidate, per meter.
 
     ``lengths`` (id, candidate) restricts each meter to its admissible orders.
     """
-    fits = fit_candidates(rows, grid)
+    fits = fit_candidates(moments, grid)
     if lengths is not None:
         fits = fits.join(lengths.select("id", "candidate"), ["id", "candidate"], "left_semi")
     ahead = forecast(rows, fits, grid, ("train",), "val")
@@ -302,10 +329,11 @@ def train(
     """
     grid = Grid(orders, exog, trend)
     rows = design(df, grid, use_log)
-    trials = grid_trials(rows, grid, use_log, lengths).checkpoint()
+    moments = split_moments(rows, grid)
+    trials = grid_trials(rows, moments, grid, use_log, lengths).checkpoint()
     best = best_candidate(trials.where("status = 'ok'"), ["id"])
     refit = (
-        fit_candidates(rows, grid, ("train", "val"))
+        fit_candidates(moments, grid, ("train", "val"))
         .join(best.select("id", "candidate"), ["id", "candidate"], "left_semi")
         .checkpoint()
     )

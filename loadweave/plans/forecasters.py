@@ -93,7 +93,8 @@ class _Arima:
         rows, orders, exog, admitted = self._setup(df, config)
         grid = arima.Grid(orders, exog, str(config.get("trend", "c")))
         use_log = bool(config.get("use_log1p"))
-        trials = arima.grid_trials(arima.design(rows, grid, use_log), grid, use_log, admitted)
+        design = arima.design(rows, grid, use_log)
+        trials = arima.grid_trials(design, arima.split_moments(design, grid), grid, use_log, admitted)
         return trials, best_candidate(trials.where("status = 'ok'"), ["id"])
 
     def predict(self, model: DataFrame, df: DataFrame, config: Mapping[str, Any]) -> DataFrame:
