@@ -43,6 +43,11 @@ def _tagged_flag(spark, sf):
     return splits.add_split(daily_flag(spark, sf), *DAILY_MARKERS)
 
 
+def _whole_flag(spark, sf):
+    """All days, those after the last marker without a split."""
+    return splits.add_split(daily_flag(spark, sf), *DAILY_MARKERS, keep_later=True)
+
+
 @query("flagship", _metrics_sql(_naive_sql(FLAG_SQL, 7), "split"))
 def flagship(spark, sf):
     """Lines to daily series, split by time, weekly naive forecast, errors."""
@@ -116,7 +121,7 @@ SELECT id, CAST(date_trunc('month', ts) AS TIMESTAMP) AS month, sum(y) AS actual
 SELECT *, {r('days_in_data / total_days::DOUBLE')} AS coverage FROM ({_LOOKUP.format(src=FLAG_SQL)})
 WHERE days_in_data / total_days::DOUBLE >= 0.95""")
 def m_month_lookup(spark, sf):
-    return rounded(B.month_lookup(daily_flag(spark, sf)))
+    return rounded(B.month_lookup(B.daily_totals(_whole_flag(spark, sf))))
 
 
 def _projection_sql(source: str, min_days: int, max_days: int, coverage: float) -> str:
@@ -126,7 +131,7 @@ n AS (SELECT *, dense_rank() OVER (PARTITION BY id, split, month ORDER BY day) A
 o AS (SELECT id, split, month, CAST(min(day) AS TIMESTAMP) AS first_day, count(DISTINCT CASE WHEN nth <= {max_days} THEN day END) AS days_observed,
              sum(CASE WHEN nth <= {max_days} THEN y END) AS energy_so_far, max(CASE WHEN nth <= {max_days} THEN ts END) AS observation_end
       FROM n GROUP BY 1, 2, 3),
-k AS (SELECT * FROM ({_LOOKUP.format(src=_tagged_sql(source))}) WHERE days_in_data / total_days::DOUBLE >= {coverage})
+k AS (SELECT * FROM ({_LOOKUP.format(src=source)}) WHERE days_in_data / total_days::DOUBLE >= {coverage})
 SELECT split, o.id, strftime(o.month, '%Y-%m') AS month, days_observed, total_days, energy_so_far,
        energy_so_far / days_observed * total_days AS projected_total, actual_total, observation_end
 FROM o JOIN k ON o.id = k.id AND o.month = k.month WHERE days_observed >= {min_days} AND first_day <= month_start"""
@@ -136,14 +141,14 @@ FROM o JOIN k ON o.id = k.id AND o.month = k.month WHERE days_observed >= {min_d
 SELECT split, id, month, days_observed, total_days, energy_so_far, {r('projected_total')} AS projected_total, actual_total, observation_end
 FROM ({_projection_sql(FLAG_SQL, 1, 4, 0.95)})""")
 def m_monthly_projection(spark, sf):
-    return rounded(B.monthly_projection(_tagged_flag(spark, sf), min_days=1, max_days=4))
+    return rounded(B.monthly_projection(_whole_flag(spark, sf), min_days=1, max_days=4))
 
 
 @query("m_monthly_metrics", f"""
 SELECT a.*, b.avg_days_observed FROM (SELECT * RENAME (n AS n_months) FROM ({_metrics_sql(_projection_sql(FLAG_SQL, 1, 4, 0.95), 'split', 'actual_total', 'projected_total')})) a
 JOIN (SELECT split, avg(days_observed) AS avg_days_observed FROM ({_projection_sql(FLAG_SQL, 1, 4, 0.95)}) GROUP BY 1) b ON a.split = b.split""")
 def m_monthly_metrics(spark, sf):
-    projection = B.monthly_projection(_tagged_flag(spark, sf), min_days=1, max_days=4)
+    projection = B.monthly_projection(_whole_flag(spark, sf), min_days=1, max_days=4)
     return rounded(B.projection_metrics(projection))
 
 

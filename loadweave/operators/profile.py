@@ -12,6 +12,7 @@ from loadweave.functions.timeparts import slot
 from loadweave.operators.quantiles import exact_quantiles, iqr_bounds
 from loadweave.operators.series import dense_ranks
 from loadweave.operators.windows import steps
+from loadweave.session import ensure_checkpoint_dir
 
 WEEKDAYS = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")
 
@@ -220,8 +221,13 @@ def peer_comparison(summary: DataFrame) -> DataFrame:
     """Each meter against the mean of all others, with dense ranks.
 
     The other meters' mean is (total - own) / (count - own), so the totals of
-    the summary are enough and no meter is paired with another.
+    the summary are enough and no meter is paired with another. The summary, one
+    row per meter, is read several times and therefore written down first;
+    otherwise each total and rank would go back to the raw readings.
     """
+    ensure_checkpoint_dir(summary.sparkSession)
+    summary = summary.checkpoint()
+
     def against_peers(mean: str, total: str, count: str) -> Column:
         all_sum = summary.agg(F.sum(total)).scalar()
         all_count = summary.agg(F.sum(count)).scalar()

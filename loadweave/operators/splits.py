@@ -22,14 +22,17 @@ def split_label(ts: str, train_end: str, val_end: str, test_end: str) -> Column:
     )
 
 
-def add_split(df: DataFrame, train_end: str, val_end: str, test_end: str, ts: str = "ts") -> DataFrame:
+def add_split(
+    df: DataFrame, train_end: str, val_end: str, test_end: str, ts: str = "ts", keep_later: bool = False
+) -> DataFrame:
     """Tag every row with its split and drop the rows after the last marker.
 
     The last marker is also an ordinary filter, so it reaches the file scan.
+    ``keep_later`` keeps the later rows with a null split, for jobs that need
+    complete months.
     """
-    return df.where(F.col(ts) <= F.lit(test_end).cast(NTZ)).withColumn(
-        "split", split_label(ts, train_end, val_end, test_end)
-    )
+    within = df if keep_later else df.where(F.col(ts) <= F.lit(test_end).cast(NTZ))
+    return within.withColumn("split", split_label(ts, train_end, val_end, test_end))
 
 
 def fold_bounds(

@@ -32,18 +32,22 @@ def seasonal_naive_forecast(
     )
 
 
-def month_lookup(df: DataFrame, keys: Sequence[str] = ("id",), min_coverage: float = 0.95) -> DataFrame:
-    """Months observed almost completely, with their true total.
+def daily_totals(df: DataFrame, keys: Sequence[str] = ("id",)) -> DataFrame:
+    """Total and last reading per (meter, split, day).
 
-    Readings are first summed per day; a month then has at most 31 rows per
-    meter, which keeps the distinct-day count cheap for any reading rate.
+    Everything monthly is derived from this table: a month has at most a few
+    dozen rows per meter whatever the reading rate.
     """
-    days = df.where(F.col("ts").isNotNull()).groupBy(*keys, slot("ts", "day").alias("day")).agg(
-        F.sum("y").alias("total")
+    return df.where(F.col("ts").isNotNull()).groupBy(*keys, "split", slot("ts", "day").alias("day")).agg(
+        F.sum("y").alias("total"), F.max("ts").alias("last_ts")
     )
+
+
+def month_lookup(days: DataFrame, keys: Sequence[str] = ("id",), min_coverage: float = 0.95) -> DataFrame:
+    """Months observed almost completely, with their true total over all splits."""
     months = days.groupBy(*keys, slot("day", "month").alias("month")).agg(
         F.sum("total").alias("actual_total"),
-        F.count("*").alias("days_in_data"),
+        F.count_distinct("day").alias("days_in_data"),
         F.min("day").alias("month_start"),
     )
     length = F.day(F.last_day(F.col("month").cast("date")))
@@ -62,14 +66,16 @@ def monthly_projection(
     require_month_start: bool = True,
     min_coverage: float = 0.95,
 ) -> DataFrame:
-    """Scale the first observed days of a month to the whole month, per split."""
+    """Scale the first observed days of a month to the whole month, per split.
+
+    Rows without a split count towards the month's true total only.
+    """
     keys = list(keys)
-    lookup = month_lookup(df, keys, min_coverage)
+    by_day = daily_totals(df, keys)
+    lookup = month_lookup(by_day, keys, min_coverage)
     by_month = [*keys, "split", "month"]
     days = (
-        df.where(F.col("ts").isNotNull())
-        .groupBy(*keys, "split", slot("ts", "day").alias("day"))
-        .agg(F.sum("y").alias("total"), F.max("ts").alias("last_ts"))
+        by_day.where(F.col("split").isNotNull())
         .withColumn("month", slot("day", "month"))
         .withColumn("nth", F.row_number().over(Window.partitionBy(*by_month).orderBy("day")))
     )

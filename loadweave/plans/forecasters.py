@@ -48,7 +48,7 @@ class SeasonalNaive:
 @register
 class MonthlyProjection:
     info = ModelInfo("monthly_projection", "Monthly projection baseline",
-                     "Scales the use so far to the length of the month.", {"observation": {"min_days": 3}}, tunable=False)
+                     "Scales the use so far to the length of the month.", {"observation": {"min_days": 3}, "keep_later_rows": True}, tunable=False)
 
     def train(self, df: DataFrame, config: Mapping[str, Any]) -> TrainResult:
         predictions = self.predict(None, df, config)

@@ -37,7 +37,10 @@ def tag(raw: DataFrame, dataset: Mapping[str, Any], config: Mapping[str, Any], m
     series = load_series(raw, dict(dataset), aggregated=aggregated)
     if config.get("single_series"):
         require_one_series(series)
-    return add_split(series, dataset["train_end"], dataset["val_end"], dataset["test_end"])
+    return add_split(
+        series, dataset["train_end"], dataset["val_end"], dataset["test_end"],
+        keep_later=bool(config.get("keep_later_rows")),
+    )
 
 
 def resolve(model: str, explicit: str | None = None, experiment: Mapping[str, Any] | None = None) -> dict[str, Any]:
