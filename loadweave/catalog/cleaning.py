@@ -93,12 +93,13 @@ def clean_coerce(spark, sf):
 @query("clean_types_profile", """
 WITH t AS (
   SELECT CAST(event_id AS VARCHAR) AS event_id, CAST(value AS VARCHAR) AS value,
-         CAST(CAST(user_id % 2 AS INTEGER) AS VARCHAR) AS odd, strftime(ts, '%Y-%m-%d %H:%M:%S') AS event_date, event_type
-  FROM events),
+         CAST(CAST(user_id % 2 AS INTEGER) AS VARCHAR) AS odd, strftime(ts, '%Y-%m-%d %H:%M:%S') AS event_date, event_type,
+         CAST(CAST(user_id % 2 AS INTEGER) AS VARCHAR) AS flag, CAST(user_id AS VARCHAR) AS user_id FROM events),
 u AS (
   SELECT 'event_id' AS "column", event_id AS v FROM t UNION ALL SELECT 'value', value FROM t
   UNION ALL SELECT 'odd', odd FROM t UNION ALL SELECT 'event_date', event_date FROM t
-  UNION ALL SELECT 'event_type', event_type FROM t),
+  UNION ALL SELECT 'event_type', event_type FROM t
+  UNION ALL SELECT 'flag', flag FROM t UNION ALL SELECT 'user_id', user_id FROM t),
 s AS (
   SELECT "column", count(try_cast(v AS DOUBLE)) / count(*)::DOUBLE AS numeric_share,
          CASE WHEN "column" = 'event_date' THEN count(try_cast(v AS TIMESTAMP)) / count(*)::DOUBLE END AS date_share,
@@ -115,6 +116,7 @@ def clean_types_profile(spark, sf):
         F.col("event_id").cast("string"), F.col("value").cast("string"),
         (F.col("user_id") % 2).cast("string").alias("odd"),
         F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("event_date"), "event_type",
+        (F.col("user_id") % 2).cast("int").alias("flag"), "user_id",
     )
     return rounded(C.type_profile(events).select("column", "numeric_share", "target_type"))
 

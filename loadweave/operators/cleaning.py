@@ -6,7 +6,7 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from loadweave.functions.timeparts import NTZ, slot
+from loadweave.functions.timeparts import NTZ, first_parsed, slot
 from loadweave.operators.quantiles import exact_quantiles
 from loadweave.operators.series import fill_gaps
 
@@ -101,49 +101,72 @@ def until(df: DataFrame, focus: str, ts: str = "ts") -> DataFrame:
     return df.where(F.col(ts) <= moment)
 
 
-def type_profile(df: DataFrame, threshold: float = 0.9) -> DataFrame:
-    """Per string column: share that parses as number or date, and the type to cast to.
+DATE_FORMATS = (None, "d/M/yyyy H:mm", "d/M/yyyy")
 
-    A column named like a date is tried as a date first. Numbers that are all
-    whole become integers; {0,1} columns become booleans; short or repetitive
-    text is flagged as a category.
+_NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
+
+
+def type_profile(
+    df: DataFrame, threshold: float = 0.9, date_formats: Sequence[str | None] = DATE_FORMATS
+) -> DataFrame:
+    """Per text or number column: shares that parse as number or date, and the
+    type to cast to, from one pass.
+
+    Text named like a date is tried as a date first. Text that is mostly
+    numeric becomes an integer if all whole, else a double; a column of zeros
+    and ones becomes a boolean; short or repetitive text is a category.
     """
-    text = [c for c, t in df.dtypes if t == "string"]
+    kinds = {c: t for c, t in df.dtypes if t == "string" or t in _NUMERIC}
     aggs: list[Column] = [F.count("*").alias("rows")]
-    for c in text:
+    for c, kind in kinds.items():
         number = F.expr(f"try_cast(`{c}` AS double)")
-        stamp = F.try_to_timestamp(F.col(c))
         aggs += [
             F.count(number).alias(f"{c}__numeric"),
-            F.count(stamp).alias(f"{c}__date"),
             F.bool_and(F.try_mod(number, F.lit(1.0)) == 0).alias(f"{c}__whole"),
             F.bool_and(number.isin(0.0, 1.0)).alias(f"{c}__binary"),
-            F.approx_count_distinct(c).alias(f"{c}__distinct"),
         ]
+        if kind == "string":
+            aggs += [
+                F.count(first_parsed(F.col(c), date_formats)).alias(f"{c}__date"),
+                F.approx_count_distinct(c).alias(f"{c}__distinct"),
+            ]
+
+    def verdict(c: str, kind: str) -> Column:
+        rows = F.col("rows")
+        if kind != "string":
+            return F.when(F.col(f"{c}__binary"), "boolean").otherwise(kind)
+        mostly_number = F.col(f"{c}__numeric") / rows > threshold
+        dated = F.lit("date" in c.lower() or "timestamp" in c.lower()) & (F.col(f"{c}__date") / rows > threshold)
+        few = (F.col(f"{c}__distinct") < 50) | (F.col(f"{c}__distinct") / rows < 0.5)
+        return (
+            F.when(dated, "timestamp")
+            .when(mostly_number & F.col(f"{c}__binary"), "boolean")
+            .when(mostly_number & F.col(f"{c}__whole"), "bigint")
+            .when(mostly_number, "double")
+            .when(few, "category")
+            .otherwise("string")
+        )
+
     parts = [
         F.struct(
             F.lit(c).alias("column"),
             (F.col(f"{c}__numeric") / F.col("rows")).alias("numeric_share"),
-            (F.col(f"{c}__date") / F.col("rows")).alias("date_share"),
-            F.when((F.lit("date" in c.lower() or "timestamp" in c.lower()))
-                   & (F.col(f"{c}__date") / F.col("rows") > threshold), "timestamp")
-            .when((F.col(f"{c}__numeric") / F.col("rows") > threshold) & F.col(f"{c}__binary"), "boolean")
-            .when((F.col(f"{c}__numeric") / F.col("rows") > threshold) & F.col(f"{c}__whole"), "bigint")
-            .when(F.col(f"{c}__numeric") / F.col("rows") > threshold, "double")
-            .when((F.col(f"{c}__distinct") < 50) | (F.col(f"{c}__distinct") / F.col("rows") < 0.5), "category")
-            .otherwise("string").alias("target_type"),
+            (F.col(f"{c}__date") / F.col("rows") if kind == "string" else F.lit(0.0)).alias("date_share"),
+            verdict(c, kind).alias("target_type"),
         )
-        for c in text
+        for c, kind in kinds.items()
     ]
     return df.agg(*aggs).select(F.inline(F.array(*parts)))
 
 
-def apply_types(df: DataFrame, types: dict[str, str]) -> DataFrame:
+def apply_types(
+    df: DataFrame, types: dict[str, str], date_formats: Sequence[str | None] = DATE_FORMATS
+) -> DataFrame:
     """Cast the named columns; text that does not parse becomes null."""
     out = {}
     for c, t in types.items():
         if t == "timestamp":
-            out[c] = F.try_to_timestamp(F.col(c)).cast(NTZ)
+            out[c] = first_parsed(F.col(c), date_formats)
         elif t == "boolean":
             out[c] = F.expr(f"try_cast(`{c}` AS double)") == 1
         elif t in ("bigint", "double"):

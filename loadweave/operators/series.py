@@ -11,6 +11,11 @@ Two ways to evaluate a window over a series are offered everywhere:
   chunks of ``chunk_rows`` consecutive rows. Rows near a cut are copied into the
   neighbouring chunk, so each chunk sees its whole frame and the result is the
   same as the single window.
+
+The order must be unique inside a meter (clean with ``keep_first``, or pass a
+tie-break column); rows without a key or a time have no place in a series and
+are left out by the chunked form. A bucket of one meter should fit a task:
+after de-duplication it holds at most one row per tick of the meter's clock.
 """
 
 from __future__ import annotations

@@ -362,3 +362,16 @@ def failures(df: DataFrame, result: ArimaResult) -> DataFrame:
         .join(reasons, "id", "left")
         .select("id", F.coalesce("reason", F.lit("no complete rows")).alias("reason"))
     )
+
+
+def fit_probes(df: DataFrame, order: Order, exog: Sequence[str], trend: str = "c") -> DataFrame:
+    """Does one order fit with and without exogenous columns? One row per meter
+    and probe with the rows used, the number of terms and the outcome."""
+    plain, full = Grid([order], (), trend), Grid([order], tuple(exog), trend)
+
+    def probe(grid: Grid, name: str) -> DataFrame:
+        fits = fit_candidates(split_moments(design(df, grid), grid), grid)
+        terms = F.size(F.filter("beta", lambda b: b != 0))
+        return fits.select("id", F.lit(name).alias("probe"), "rows", terms.alias("terms"), "status")
+
+    return probe(plain, "no exogenous columns").unionByName(probe(full, "exogenous columns"))

@@ -189,6 +189,18 @@ def test_exogenous_column_is_used(spark):
     assert with_x < without * 0.7
 
 
+def test_fit_probes_count_the_usable_terms(spark):
+    pdf = pd.concat([_seasonal(meters=("a",)), _seasonal(n=4, meters=("tiny",))])
+    pdf["x"] = np.random.default_rng(1).normal(size=len(pdf))
+    pdf["dead"], pdf["copy"] = 0.0, 2 * pdf["x"]
+    tagged = splits.add_split(frame(spark, pdf), *SEASON_MARKERS)
+    got = arima.fit_probes(tagged, (1, 0, 0, 0, 0, 0, 0), ["x", "dead", "copy"]).toPandas()
+    by = got.set_index(["id", "probe"])
+    assert by.loc[("a", "no exogenous columns"), "terms"] == 2
+    assert by.loc[("a", "exogenous columns"), "terms"] == 2
+    assert (got[got["id"] == "tiny"]["status"] != "ok").all()
+
+
 def test_additive_regression_follows_trend_and_week(spark):
     pdf = _seasonal(meters=("a",), noise=0.1)
     pdf["y"] += np.arange(len(pdf)) * 0.1

@@ -153,6 +153,25 @@ def test_monthly_job_and_empty_sink(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/plain").columns == result.predictions.columns
 
 
+def test_typed_columns(spark):
+    from loadweave.operators import cleaning
+
+    pdf = pd.DataFrame({"read_date": ["31/12/2022", "01/01/2023"], "n": ["1", "2"], "x": ["1.5", "oops"], "flag": [0, 1]})
+    df = frame(spark, pdf)
+    found = {r["column"]: r["target_type"] for r in cleaning.type_profile(df).collect()}
+    assert found == {"read_date": "timestamp", "n": "bigint", "x": "category", "flag": "boolean"}
+    row = cleaning.apply_types(df, {**found, "x": "double"}).orderBy("n").collect()[1]
+    assert row["read_date"] == datetime(2023, 1, 1) and row["n"] == 2 and row["x"] is None and row["flag"] is True
+
+
+def test_output_per_meter(spark, tmp_path):
+    df = frame(spark, monthly_readings({"a": 1.0, "b": 2.0}))
+    sinks.write_per_meter(df, str(tmp_path))
+    assert {p.name for p in (tmp_path / "meters").glob("meter=*")} == {"meter=a", "meter=b"}
+    sinks.write_per_meter(df, str(tmp_path / "all"), by_month_of="ts")
+    assert len(list((tmp_path / "all" / "meters").glob("month=*"))) == 3
+
+
 def test_future_rows_continue_runs(spark):
     special = {"public_holidays": ["2023-01-03", "2023-01-04"]}
     pdf = pd.DataFrame({"id": ["m"] * 3, "ts": pd.date_range("2023-01-01", periods=3, freq="D"), "y": [1.0, 2, 3]})
