@@ -162,11 +162,12 @@ def clean_clip_global(spark, sf):
 
 
 @query("rep_time_parts", """
-SELECT event_id, CAST(ts AS DATE) AS day, CAST(date_trunc('week', ts) AS TIMESTAMP) AS week_start,
+SELECT event_id, CAST(CAST(ts AS DATE) AS TIMESTAMP) AS day, CAST(date_trunc('week', ts) AS TIMESTAMP) AS week_start,
        strftime(date_trunc('week', ts), '%Y-%m-%d') AS week_label, strftime(ts, '%Y-%m') AS month,
        CAST(hour(ts) AS INTEGER) AS hour, dayname(ts) AS day_name, isodow(ts) >= 6 AS is_weekend FROM events""")
 def rep_time_parts(spark, sf):
     parts = report_parts("ts")
+    parts["day"] = parts["day"].cast(NTZ)
     return table(spark, sf, "events").select("event_id", *[c.alias(n) for n, c in parts.items()])
 
 

@@ -289,10 +289,10 @@ def seq_context(spark, sf):
 
 
 @query("ts_steps", f"""
-SELECT id, ts, y, CAST(floor(epoch_us(ts) / 1e6 - lag(epoch_us(ts) / 1e6) OVER (PARTITION BY id ORDER BY ts)) AS BIGINT)
+SELECT id, ts, y, CAST(floor(epoch_us(ts) / 1e6 - lag(epoch_us(ts) / 1e6) OVER (PARTITION BY id ORDER BY ts)) AS DOUBLE)
 AS step_seconds FROM ({SUPP_SQL})""")
 def ts_steps(spark, sf):
-    return W.steps(daily_supp(spark, sf), ["id"], "ts")
+    return W.steps(daily_supp(spark, sf), ["id"], "ts").withColumn("step_seconds", F.col("step_seconds").cast("double"))
 
 
 @query("ts_previous", f"SELECT *, {_lag(1)} AS previous FROM ({SUPP_SQL})")

@@ -238,7 +238,7 @@ p AS (SELECT *, lag(y) OVER (PARTITION BY id ORDER BY ts) AS previous,
              sum(y) OVER (PARTITION BY id, CAST(ts AS DATE) ORDER BY ts) AS today_kwh FROM x WHERE y IS NOT NULL)
 SELECT id, ts, y, y_hat, forecast_ts, forecast_value, previous, {r('today_kwh')} AS today_kwh, {r('y * 0.315')} AS current_cost,
        {r('forecast_value * 0.315')} AS forecast_cost, {r('today_kwh * 0.315 + 1.322')} AS today_cost,
-       y > 60.0 AS current_over_threshold, forecast_value > 60.0 AS forecast_over_threshold FROM p"""
+       y > 60.0 AS current_over_threshold, coalesce(forecast_value > 60.0, false) AS forecast_over_threshold FROM p"""
 
 
 @query("live_cost", _playback_sql(SUPP_SQL, _PERIOD, "1 DAY"))

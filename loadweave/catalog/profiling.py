@@ -59,10 +59,10 @@ def prof_value_counts(spark, sf):
 
 
 @query("prof_value_counts_null", """
-SELECT l.quality, count(*) AS n FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY 1""")
+SELECT CAST(l.quality AS DOUBLE) AS quality, count(*) AS n FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY 1""")
 def prof_value_counts_null(spark, sf):
     joined = table(spark, sf, "documents").select("doc_id").join(table(spark, sf, "labels"), "doc_id", "left")
-    return P.value_counts(joined, "quality")
+    return P.value_counts(joined.withColumn("quality", F.col("quality").cast("double")), "quality")
 
 
 @query("prof_describe", _each(_NUMBERS, """
@@ -242,9 +242,9 @@ def prof_stack(spark, sf):
 
 
 @query("prof_day_hour", f"""
-SELECT id, CAST(ts AS DATE) AS day, CAST(hour(ts) AS INTEGER) AS hour, {r('avg(y)')} AS mean_value FROM ({USER_SQL}) GROUP BY 1, 2, 3""")
+SELECT id, CAST(CAST(ts AS DATE) AS TIMESTAMP) AS day, CAST(hour(ts) AS INTEGER) AS hour, {r('avg(y)')} AS mean_value FROM ({USER_SQL}) GROUP BY 1, 2, 3""")
 def prof_day_hour(spark, sf):
-    return rounded(P.daily_hour_means(user_events(spark, sf)))
+    return rounded(P.daily_hour_means(user_events(spark, sf))).withColumn("day", F.col("day").cast("timestamp_ntz"))
 
 
 @query("prof_volatility", f"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -20,11 +21,11 @@ WEEKDAYS = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday",
 NATIONAL_AVERAGE_KWH = 9019.0
 
 
-def _long(df: DataFrame, columns: Sequence[str], cells: Mapping[str, str]) -> DataFrame:
+def _long(df: DataFrame, columns: Sequence[str], cells: Mapping[str, str], name_as: str = "column") -> DataFrame:
     """Turn one wide row into one row per column; ``cells`` maps an output
     name to the suffix its value carries in the wide row."""
     rows = [
-        F.struct(F.lit(c).alias("column"), *[F.col(f"{c}{suffix}").alias(name) for name, suffix in cells.items()])
+        F.struct(F.lit(c).alias(name_as), *[F.col(f"{c}{suffix}").alias(name) for name, suffix in cells.items()])
         for c in columns
     ]
     return df.select(F.inline(F.array(*rows)))
@@ -42,11 +43,21 @@ def missing_summary(df: DataFrame) -> DataFrame:
 
 
 def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None, approximate: bool = False) -> DataFrame:
-    """Number of distinct non-null values per column."""
+    """Number of distinct non-null values per column.
+
+    Exact counts are one two-step aggregation per column over a scan of that
+    column alone; counting all columns together would first multiply every row
+    by their number. ``approximate`` is a single pass.
+    """
     columns = list(columns or df.columns)
-    count = F.approx_count_distinct if approximate else F.count_distinct
-    wide = df.agg(*[count(F.col(c)).alias(f"{c}__distinct") for c in columns])
-    return _long(wide, columns, {"distinct_values": "__distinct"})
+    if approximate:
+        wide = df.agg(*[F.approx_count_distinct(F.col(c)).alias(f"{c}__distinct") for c in columns])
+        return _long(wide, columns, {"distinct_values": "__distinct"})
+    parts = [
+        df.agg(F.count_distinct(F.col(c)).alias("distinct_values")).select(F.lit(c).alias("column"), "distinct_values")
+        for c in columns
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
@@ -55,14 +66,11 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Count, mean, deviation, extremes and exact quartiles per column."""
-    long = unpivot_values(df.select(*columns), [], columns)
-    moments = long.groupBy("value_column").agg(
-        F.count("value").alias("count"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    )
+    numbers = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    measures = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    wide = numbers.agg(*[fn(c).alias(f"{c}__{name}") for c in columns for name, fn in measures.items()])
+    moments = _long(wide, columns, {name: f"__{name}" for name in measures}, "value_column")
+    long = unpivot_values(numbers, [], columns)
     quartiles = exact_quantiles(long, ["value_column"], "value", {"q25": 0.25, "q50": 0.5, "q75": 0.75})
     return moments.join(quartiles, "value_column", "left")
 

@@ -89,7 +89,8 @@ def alert_columns(y: str, y_hat: str, today: str, tariff: Mapping[str, float]) -
         "forecast_cost": F.col(y_hat) * rate,
         "today_cost": F.col(today) * rate + F.lit(tariff["daily_supply_charge"]),
         "current_over_threshold": F.col(y) > limit,
-        "forecast_over_threshold": F.col(y_hat) > limit,
+        # Without a forecast there is nothing to warn about.
+        "forecast_over_threshold": F.coalesce(F.col(y_hat) > limit, F.lit(False)),
     }
 
 
