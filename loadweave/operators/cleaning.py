@@ -187,9 +187,19 @@ def across_meters(df: DataFrame, how: str = "mean", ts: str = "ts", y: str = "y"
 
 
 def time_spine(df: DataFrame, interval: str, keys: Sequence[str] = ("id",), ts: str = "ts") -> DataFrame:
-    """Every slot between a meter's first and last reading."""
+    """Every slot between a meter's first and last reading.
+
+    Generated in stretches of a thousand slots, so that no row ever carries a
+    whole history however fine the interval; months and years are few and are
+    generated in one go.
+    """
+    step = f"INTERVAL {interval}"
     ends = df.groupBy(*keys).agg(F.min(ts).alias("_lo"), F.max(ts).alias("_hi"))
-    return ends.select(*keys, F.explode(F.sequence("_lo", "_hi", F.expr(f"INTERVAL {interval}"))).alias(ts))
+    if interval.strip().upper().rstrip("S").endswith(("MONTH", "YEAR", "QUARTER")):
+        return ends.select(*keys, F.explode(F.sequence("_lo", "_hi", F.expr(step))).alias(ts))
+    stretches = ends.select(*keys, "_hi", F.explode(F.expr(f"sequence(_lo, _hi, {step} * 1000)")).alias("_s"))
+    slots = F.expr(f"sequence(_s, least(_s + {step} * 999, _hi), {step})")
+    return stretches.select(*keys, F.explode(slots).alias(ts))
 
 
 def regularise(df: DataFrame, interval: str, keys: Sequence[str] = ("id",), ts: str = "ts") -> DataFrame:

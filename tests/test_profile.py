@@ -112,3 +112,12 @@ def test_meter_selection_guards(spark):
         cleaning.until(df, "2099-01-01 00:00:00")
     with pytest.raises(ValueError):
         cleaning.until(df, "2023-01-05 00:00:00.5")
+
+
+@pytest.mark.parametrize("interval,freq", [("1 MINUTE", "min"), ("2 DAYS", "2D"), ("1 MONTH", "MS")])
+def test_time_spine_is_complete(spark, interval, freq):
+    pdf = pd.DataFrame({"id": ["a", "a", "b"], "ts": pd.to_datetime(["2023-01-01 00:00", "2023-03-12 05:00", "2023-02-01 00:00"])})
+    got = cleaning.time_spine(frame(spark, pdf), interval).toPandas().sort_values(["id", "ts"])
+    want = list(pd.date_range("2023-01-01", "2023-03-12 05:00", freq=freq))
+    assert got[got["id"] == "a"]["ts"].tolist() == want
+    assert got[got["id"] == "b"]["ts"].tolist() == [pd.Timestamp("2023-02-01")]
