@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loadweave.llm import quality, sharding
+from loadweave.llm import packing, quality, sharding, simhash, toxicity
 from loadweave.llm.common import prepared, table, text_or_empty
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,3 +83,28 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
         (~quality.passes(quality.POLICIES["base"])).alias("base_failed"),
         quality.passes(quality.POLICIES["v1"]).alias("kept"), "failed_bits",
     )
+
+
+@query("op3_simhash_trie")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate class of every document."""
+    rows = simhash.clustered(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op8_vector_best_fit")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 4,096 tokens."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return packing.packed(packing.pieces(table(spark, sf_dir, "documents"), path))
+
+
+@query("op10_factorization_machine")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document; the model learns from at most 16,384 documents that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    machine = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    rows = toxicity.scored(docs, machine)
+    return rows.select(
+        "doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
