@@ -2,8 +2,9 @@
 
 A text's terms are its lower-cased words and their first four and five
 characters, hashed into 2**18 buckets and counted once per document. The
-`features` buckets that differ most between the classes of the sample (chi
-square) get a linear weight and a vector; the score is the logistic of
+buckets that differ most between the classes of the sample (likelihood ratio,
+at most `features` of those beyond what chance gives the best of all buckets)
+get a linear weight and a vector; the score is the logistic of
 
     w0 + sum w_i + sum over pairs <v_i, v_j>
 
@@ -31,6 +32,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 BUCKETS = 1 << 18
 _WORD = re.compile(r"\w+")
 _CACHE_WORDS = 300_000
+MIN_STEPS = 2000  # of the fit, however small the sample
 
 
 def word_buckets(word: str) -> tuple[int, ...]:
@@ -107,6 +109,21 @@ def _term_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"bucket": seen, "clean": counts[0, seen], "toxic": counts[1, seen]})
 
 
+def _likelihood_ratio(n_clean: int, n_toxic: int) -> Column:
+    """G statistic of a term against the classes; unlike chi square it stays small for rare terms."""
+    share = n_toxic / (n_clean + n_toxic)
+    df = F.col("toxic") + F.col("clean")
+
+    def part(seen: Column, documents: Column, rate: float) -> Column:
+        return F.when(seen > 0, seen * F.log(seen / (documents * rate))).otherwise(0.0)
+
+    absent = F.lit(n_clean + n_toxic) - df
+    return 2 * (
+        part(F.col("toxic"), df, share) + part(F.col("clean"), df, 1 - share)
+        + part(n_toxic - F.col("toxic"), absent, share) + part(n_clean - F.col("clean"), absent, 1 - share)
+    )
+
+
 def _active(feature_of: np.ndarray):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         terms = Terms(feature_of)
@@ -128,14 +145,16 @@ def train(
         if not n_clean or not n_toxic:
             none.bias = 30.0 if n_toxic else -30.0
             return none
-        a, b = F.col("toxic").cast("double"), F.col("clean").cast("double")
-        total = float(n_clean + n_toxic)
-        chi = (a * (n_clean - b) - b * (n_toxic - a)) ** 2 * total / (n_clean * float(n_toxic) * (a + b) * (total - a - b + 1))
-        best = [
-            r.bucket for r in sample.mapInPandas(_term_counts, "bucket long, clean long, toxic long")
-            .groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-            .where(a + b >= 3).orderBy(chi.desc(), "bucket").limit(features).collect()
+        counts = sample.mapInPandas(_term_counts, "bucket long, clean long, toxic long").groupBy("bucket").agg(
+            F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+        counts = counts.cache()  # at most BUCKETS rows
+        chance = 2 * np.log(max(2, counts.count()))  # about what the best of so many unrelated terms reaches
+        gains = [
+            (r.gain, r.bucket) for r in counts.withColumn("gain", _likelihood_ratio(n_clean, n_toxic))
+            .orderBy(F.col("gain").desc(), "bucket").limit(features).collect()
         ]
+        counts.unpersist()
+        best = [bucket for gain, bucket in gains if gain >= chance]
         feature_of = none.feature_of.copy()
         feature_of[best] = np.arange(len(best))
         rows = sample.mapInPandas(_active(feature_of), "active array<long>, toxic long").toPandas()
@@ -152,8 +171,9 @@ def fit(feature_of, active, toxic, features, factors, epochs, step, shrink, seed
     w0 = float(np.log((toxic.sum() + 1) / ((~toxic).sum() + 1)))
     w, v = np.zeros(features), rng.normal(0, 0.02, (features, factors))
     g0, gw, gv = 1e-6, np.full(features, 1e-6), np.full((features, factors), 1e-6)
-    for _ in range(epochs):
-        for part in np.array_split(rng.permutation(len(active)), max(1, len(active) // 128)):
+    batches = max(1, len(active) // 128)
+    for _ in range(max(epochs, MIN_STEPS // batches)):
+        for part in np.array_split(rng.permutation(len(active)), batches):
             x = np.zeros((len(part), features))
             for k, row in enumerate(part):
                 x[k, active[row]] = 1
