@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loadweave.llm import packing, quality, sharding, simhash, toxicity
+from loadweave.llm import chunking, packing, quality, sharding, simhash, suffixes, toxicity
 from loadweave.llm.common import prepared, table, text_or_empty
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -108,3 +108,15 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(
         "doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"),
     )
+
+
+@query("op6_sparse_suffixes")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage of 50 words or more that occurs in an earlier place, by word position."""
+    return suffixes.repeated_spans(table(spark, sf_dir, "documents"))
+
+
+@query("op9_content_chunks")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every span of 100 bytes or more made of chunks that occur in an earlier place."""
+    return chunking.duplicate_spans(table(spark, sf_dir, "documents"))
