@@ -1,12 +1,19 @@
-"""From raw documents to packed sequences, one dealt operator per stage."""
+"""From raw documents to packed sequences, one dealt operator per stage.
+
+Rows with nulls, empty or repeated texts, extra columns and empty tables pass
+as each operator's module says. A document without an id is judged by its text
+but can neither be named as a copy nor packed under a number of its own: the
+near-duplicate and passage stages leave it alone.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loadweave.llm import quality
+from loadweave.llm import packing, quality, simhash, suffixes, toxicity
 from loadweave.llm.common import prepared, stored, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -17,7 +24,35 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.kept_documents(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("quality_rules", keep_good)]
+def keep_harmless(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Toxicity: documents with a score of 0.7 or more go."""
+    machine = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.scored(docs, machine, column="_toxicity")
+    return scored.where(F.col("_toxicity") < 0.7).drop("_toxicity")
+
+
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """SimHash near-dedup on five words: of each group the document with the smallest id stays."""
+    return simhash.one_per_group(docs, budget=3, width=5)
+
+
+def keep_passages_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Suffix-array dedup: passages of 50 words or more stay where they occur first."""
+    return suffixes.without_repeats(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Best-fit packing of what is left, in sequences of 4,096 tokens."""
+    return packing.packed(packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json")))
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", keep_good),
+    ("toxicity", keep_harmless),
+    ("simhash_near_dedup", keep_one_of_near_copies),
+    ("suffix_array_dedup", keep_passages_once),
+    ("best_fit_packing", pack),
+]
 
 #: Several stages learn, link or tokenise, which SQL cannot state; the tests hold run() against brute force.
 ORACLE_SQL: str | None = None

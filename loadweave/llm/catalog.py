@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loadweave.llm import chunking, packing, quality, sharding, simhash, suffixes, toxicity
+from loadweave.llm import chunking, extraction, packing, pieces, quality, search, sharding, simhash, suffixes, toxicity
 from loadweave.llm.common import prepared, table, text_or_empty
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -120,3 +120,41 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every span of 100 bytes or more made of chunks that occur in an earlier place."""
     return chunking.duplicate_spans(table(spark, sf_dir, "documents"))
+
+
+@query("op2_tree_extraction")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    rows = extraction.extracted(table(spark, sf_dir, "pages"))
+    return rows.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query("op4_unigram_viterbi")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, as count and checksum, and whether they decode to its text."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    docs = table(spark, sf_dir, "documents").select("doc_id", text_or_empty().alias("text"))
+    rows = pieces.decoded(pieces.encoded(docs, path), path)
+    return rows.select(
+        "doc_id", F.size("ids").cast("long").alias("n_ids"), "ids_crc32", F.crc32("decoded").alias("decoded_crc32"),
+        (F.col("decoded") == F.translate("text", pieces.MARK, " ")).alias("round_trip"),
+    )
+
+
+_TOP_K_SQL = """
+WITH v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
+  FROM v AS q JOIN v AS c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
+FROM s QUALIFY rank <= 5
+"""
+
+
+@query("op7_impact_search", _TOP_K_SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best matches of every vector whose id is divisible by 50."""
+    return search.top_k(search.whole_vectors(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 50 == 0, k=5)
