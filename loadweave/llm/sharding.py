@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from loadweave.llm.common import shuffle_parts, stored
 
+FEW = 16_384  # rows around all open splitters that are looked at one by one
 STEP = 8  # key bits resolved per round: 256 candidate boundaries for each open splitter
 ROUNDS = 64 // STEP
 LOW, HIGH = -(1 << 63), (1 << 63) - 1
@@ -55,11 +56,9 @@ def splitters(df: DataFrame, size: str, shards: int, tolerance: float) -> list[t
     done: dict[int, tuple[int, int]] = {}
     pending = {k: ((0, 0), 0) for k in range(1, shards)} if total else {}  # splitter -> (interval, bytes below it)
     for depth in range(1, 2 * ROUNDS + 1):
-        if not pending:
-            break
-        counts = _finer_counts(df, size, depth, {interval for interval, _ in pending.values()})
+        counts = _finer_counts(df, size, depth, {interval for interval, _ in pending.values()}) if pending else {}
         width = 64 - STEP * (depth if depth <= ROUNDS else depth - ROUNDS)
-        refined = {}
+        refined, around = {}, {}
         for k, (interval, below) in pending.items():
             target = total * k / shards
             for prefix, n, rows in counts[interval]:
@@ -67,19 +66,49 @@ def splitters(df: DataFrame, size: str, shards: int, tolerance: float) -> list[t
                     break
                 below += n
             start, end = prefix << width, min((prefix + 1) << width, HIGH)
-            if min(target - below, below + n - target) <= slack or rows == 1 or depth == 2 * ROUNDS:
+            if min(target - below, below + n - target) <= slack or depth == 2 * ROUNDS:
                 bound = start if target - below <= below + n - target else end
                 done[k] = (bound, LOW) if depth <= ROUNDS else (interval[0], bound)
-            elif depth < ROUNDS:
+                continue
+            if depth < ROUNDS:
                 refined[k] = ((0, prefix), below)
             elif depth == ROUNDS:
                 refined[k] = ((prefix, 0), below)  # one key: go on with its second part
             else:
                 refined[k] = ((interval[0], prefix), below)
+            around[refined[k][0]] = rows
         pending = refined
+        if pending and sum(around.values()) <= FEW:
+            done |= _among_few(df, size, depth, pending, {k: total * k / shards for k in pending})
+            break
     return [done.get(k, (LOW, LOW)) for k in range(1, shards)]
 
 
+def _among_few(df: DataFrame, size: str, depth: int, pending: dict, target: dict[int, float]) -> dict[int, tuple[int, int]]:
+    """Settle the open splitters from the keys of at most FEW rows."""
+    if depth < ROUNDS:
+        interval = F.struct(F.lit(0).cast("long").alias("a"), _prefix("_hi", STEP * depth).alias("b"))
+    else:
+        interval = F.struct(F.col("_hi").alias("a"), _prefix("_lo", STEP * (depth - ROUNDS)).alias("b"))
+    wanted = {w for w, _ in pending.values()}
+    near = df.where(interval["a"].isin(sorted({a for a, _ in wanted})) & interval["b"].isin(sorted({b for _, b in wanted})))
+    keys: dict[tuple[int, int], list] = defaultdict(list)
+    for r in near.groupBy(interval.alias("i"), "_hi", "_lo").agg(F.sum(size).alias("n")).collect():
+        keys[(r.i.a, r.i.b)].append((r["_hi"], r["_lo"], int(r.n)))
+    done = {}
+    for k, (w, below) in pending.items():
+        bound = (LOW, LOW)
+        for hi, lo, n in sorted(keys[w]):
+            bound = (hi, lo)
+            if below + n >= target[k]:
+                if target[k] - below > below + n - target[k]:
+                    bound = (hi, lo + 1) if lo < HIGH else (hi + 1, LOW)
+                break
+            below += n
+        done[k] = bound
+    return done
+
+
 def shard_of(bounds: list[tuple[int, int]]) -> Column:
     """Number of splitters at or below the row's key."""
     out = F.lit(0)
