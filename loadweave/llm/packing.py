@@ -18,17 +18,27 @@ of its own.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from loadweave.llm.common import stored
 
-_CACHE_CHUNKS = 300_000
+_CACHE_CHUNKS = 400_000
+_LATIN = re.compile("[\x00-\u024f]*").fullmatch  # composed already, and lower-cased one by one
+#: A byte's stand-in in byte-level vocabularies: itself if it prints, else the next letter from U+0100 on.
+_PRINTS = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]
+_BYTE_LETTERS = {b: chr(b) for b in _PRINTS} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _PRINTS)}
 GROUP = 8192  # pieces of a group, on average
 
 
@@ -47,25 +57,65 @@ class Tokens:
     """Ids of a text as little-endian unsigned 32-bit numbers.
 
     The tokenizer never joins characters across ASCII white space, so its
-    result is the concatenation over the pieces between; those are cached up
-    to a limit.
+    result is the concatenation over the chunks between; those are cached up
+    to a limit. A chunk of Latin letters, digits and signs that is not known
+    yet is split by the tokenizer's own pattern, and only its BPE model is
+    asked, for parts not met before; all other chunks go through the whole
+    tokenizer.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.chunks: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        self.pattern = _simple_pattern(json.loads(Path(path).read_text()))
+        self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or "(?!)")
+
+    def _part(self, part: str) -> bytes:
+        ids = array("I", [t.id for t in self.tokenizer.model.tokenize(part.encode().decode("latin-1").translate(_BYTE_LETTERS))])
+        if len(self.parts) >= _CACHE_CHUNKS:
+            self.parts.clear()
+        got = self.parts[part] = ids.tobytes()
+        return got
+
+    def _chunk(self, chunk: bytes) -> bytes:
+        text = chunk.decode()
+        if self.pattern and _LATIN(text) and not self.special.search(text):
+            parts = self.parts
+            ids = b"".join([parts.get(p) or self._part(p) for p in self.pattern.findall(text.lower())])
+        else:
+            ids = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        if len(self.chunks) >= _CACHE_CHUNKS:
+            self.chunks.clear()
+        self.chunks[chunk] = ids
+        return ids
 
     def __call__(self, text: str | None) -> bytes:
-        chunks = (text or "").encode().split()
-        new = [c for c in dict.fromkeys(chunks) if c not in self.cache]
-        if new:
-            if len(self.cache) + len(new) > _CACHE_CHUNKS:
-                self.cache.clear()
-                new = list(dict.fromkeys(chunks))
-            for c, e in zip(new, self.tokenizer.encode_batch([c.decode() for c in new], add_special_tokens=False)):
-                self.cache[c] = np.array(e.ids, dtype="<u4").tobytes()
-        return b"".join(map(self.cache.__getitem__, chunks))
+        known = self.chunks.get
+        out = []
+        for chunk in (text or "").encode().split():
+            ids = known(chunk)
+            out.append(self._chunk(chunk) if ids is None else ids)
+        return b"".join(out)
+
+
+def _simple_pattern(spec: dict) -> regex.Pattern | None:
+    """The split pattern of a tokenizer that composes, lower-cases, splits and then works on bytes; else None."""
+    steps = [s["type"] for s in (spec.get("normalizer") or {}).get("normalizers", [])]
+    cuts = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    if steps != ["NFC", "Replace", "Lowercase"] or [c["type"] for c in cuts] != ["Split", "ByteLevel"]:
+        return None
+    split, to_bytes = cuts
+    usual = (split["behavior"], split["invert"], to_bytes["add_prefix_space"], to_bytes["use_regex"]) == ("Removed", True, False, False)
+    return regex.compile(split["pattern"]["Regex"]) if usual and spec["model"]["type"] == "BPE" else None
+
+
+@lru_cache(maxsize=2)
+def tokens_of(path: str) -> Tokens:
+    """One per worker process, kept from task to task."""
+    return Tokens(path)
 
 
 def pieces(
@@ -78,7 +128,7 @@ def pieces(
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokens = Tokens(tokenizer)
+        tokens = tokens_of(tokenizer)
         for pdf in batches:
             out: dict[str, list] = {"doc": [], "piece": [], "start": [], "ids": []}
             for k, t in enumerate(pdf["text"]):
