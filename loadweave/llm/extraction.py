@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, types as T
 
 from loadweave.llm.dom import Page, features
 
-TURN = 1.0  # cost of an article region's start, and of other matter inside one
+TURN = 2.0  # cost of an article region's start, and of other matter inside one
 
 
 class Forest:
@@ -92,7 +92,7 @@ def main_text(html: str | None, forest: Forest) -> str:
     if not page.blocks:
         return ""
     x = features(page)
-    keep = decoded(page.parent, forest.chance(x), 0.3 + np.minimum(1.0, x[:, 0] / 6))
+    keep = decoded(page.parent, forest.chance(x), 1.0 + np.minimum(1.0, x[:, 0] / 6))
     return " ".join(text for node, text in page.blocks if keep[node] and text)
 
 
@@ -162,7 +162,7 @@ def made_page(rng: np.random.Generator) -> str:
         inside = [title if chance(0.7) else f"<header>{title}</header>" if chance(0.5) else ""]
         for _ in range(int(rng.integers(1, pick(3, 8, 20)))):
             inside.append(block())
-            if chance(0.06):
+            if chance(0.15):
                 inside.append(pick(advert, sidebar, notice, form, menu)())
         if chance(0.12):
             inside.append(pick(comments, sidebar, footer)())
@@ -190,7 +190,7 @@ def _examples(pages: int, seed: int):
 
 
 @lru_cache(maxsize=4)
-def trained(spark: SparkSession, pages: int = 400, trees: int = 20, depth: int = 5, seed: int = 11) -> Forest:
+def trained(spark: SparkSession, pages: int = 400, trees: int = 30, depth: int = 5, seed: int = 11) -> Forest:
     """Fit on `pages` made pages; their number bounds the work whatever the table's size."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector
