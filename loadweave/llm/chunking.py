@@ -30,11 +30,10 @@ _GEAR = np.array([xxhash.xxh32_intdigest(bytes([b]), seed=9) for b in range(256)
 
 def gear(data: np.ndarray) -> np.ndarray:
     """Rolling hash at each byte: sum over the last 32 bytes of table value shifted by its age."""
-    h = _GEAR[data]
+    h = _GEAR.take(data)
     for age in (1, 2, 4, 8, 16):
-        longer = h.copy()
-        longer[age:] += h[:-age] << np.uint32(age)
-        h = longer
+        older = h[:-age] << np.uint32(age)
+        h[age:] += older
     return h
 
 
@@ -44,39 +43,48 @@ def cut_points(raw: bytes, least: int = 24, most: int = 512, bits: int = 5) -> l
     n = len(data)
     if not n:
         return []
-    start_of_char = np.r_[(data[1:] & 0xC0) != 0x80, True]  # of the byte that follows
-    wanted = np.flatnonzero((gear(data) >> np.uint32(32 - bits) == 0) & start_of_char).tolist()
-    ends, at, k = [], 0, 0
-    while at < n:
-        while k < len(wanted) and wanted[k] < at + least - 1:
-            k += 1
-        end = wanted[k] + 1 if k < len(wanted) else n
-        if end - at > most:
-            end = at + most
-            while not start_of_char[end - 1]:
-                end -= 1
-        ends.append(end)
-        at = end
+    wanted = np.flatnonzero(gear(data) >> np.uint32(32 - bits) == 0) + 1
+    if not raw.isascii():
+        wanted = wanted[(data[np.minimum(wanted, n - 1)] & 0xC0) != 0x80]  # the byte that follows starts a character
+    ends, at, soonest = [], 0, least
+    for end in [*wanted.tolist(), n]:
+        while end - at > most:
+            cut = at + most
+            while data[cut] & 0xC0 == 0x80:
+                cut -= 1
+            ends.append(cut)
+            at, soonest = cut, cut + least
+        if end >= soonest or end == n:
+            if end > at:
+                ends.append(end)
+            at, soonest = end, end + least
     return ends
 
 
 def chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, place, start, size, digest) of every chunk; start and size in bytes, digest in two longs."""
+    digest = xxhash.xxh3_128_digest
     rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for doc, t in zip(pdf["doc_id"], pdf["text"]):
-                raw = (t or "").encode()
-                ends = cut_points(raw)
-                if ends:
-                    starts = [0, *ends[:-1]]
-                    digests = b"".join([xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(starts, ends)])
-                    halves = np.frombuffer(digests, "<i8").reshape(-1, 2)
-                    yield pd.DataFrame({
-                        "doc_id": doc, "place": np.arange(len(ends), dtype=np.int32), "start": starts,
-                        "size": np.diff([0, *ends]), "d1": halves[:, 0], "d2": halves[:, 1],
-                    })
+            counts, starts, ends, digests = [], [], [], []
+            for text in pdf["text"]:
+                raw = (text or "").encode()
+                cuts = cut_points(raw)
+                at = [0, *cuts[:-1]] if cuts else []
+                counts.append(len(cuts))
+                starts += at
+                ends += cuts
+                digests += [digest(raw[a:b]) for a, b in zip(at, cuts)]
+            counts = np.array(counts, dtype=np.int64)
+            halves = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+            starts = np.array(starts, dtype=np.int32)
+            yield pd.DataFrame({
+                "doc_id": np.repeat(pdf["doc_id"].to_numpy(), counts),
+                "place": (np.arange(len(starts)) - np.repeat(np.cumsum(counts) - counts, counts)).astype(np.int32),
+                "start": starts, "size": np.array(ends, dtype=np.int32) - starts, "d1": halves[:, 0], "d2": halves[:, 1],
+            })
 
     return rows.mapInPandas(run, "doc_id long, place int, start int, size int, d1 long, d2 long")
 
