@@ -250,10 +250,10 @@ def ts_gapfill(spark, sf):
 
 
 _FILLED = f"""
-WITH e AS (SELECT id, min(ts) AS lo, max(ts) AS hi FROM ({FLAG_SQL}) GROUP BY id),
+WITH e AS (SELECT id, min(ts) AS lo, max(ts) AS hi FROM ({SUPP_SQL}) GROUP BY id),
 g AS (SELECT id, unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS ts FROM e),
-x AS (SELECT l_returnflag AS id, CAST(date_trunc('day', l_shipdate) AS TIMESTAMP) AS ts, sum(l_tax) AS tax
-      FROM lineitem WHERE l_tax >= 0.08 GROUP BY 1, 2),
+x AS (SELECT CAST(l_suppkey AS VARCHAR) AS id, CAST(date_trunc('day', l_shipdate) AS TIMESTAMP) AS ts, sum(l_tax) AS tax
+      FROM lineitem GROUP BY 1, 2),
 j AS (SELECT g.id, g.ts, x.tax FROM g LEFT JOIN x ON g.id = x.id AND g.ts = x.ts)
 SELECT id, ts, {r('''coalesce(last_value(tax IGNORE NULLS) OVER (PARTITION BY id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
   first_value(tax IGNORE NULLS) OVER (PARTITION BY id ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0)''')} AS tax,
@@ -261,11 +261,9 @@ SELECT id, ts, {r('''coalesce(last_value(tax IGNORE NULLS) OVER (PARTITION BY id
 
 
 def _exog(spark, sf, grain):
-    spine = C.time_spine(daily_flag(spark, sf), "1 DAY")
-    tax = (
-        table(spark, sf, "lineitem").where("l_tax >= 0.08D")
-        .select(F.col("l_returnflag").alias("id"), F.col("l_shipdate").alias("ts"), F.col("l_tax").alias("tax"))
-    )
+    spine = C.time_spine(daily_supp(spark, sf), "1 DAY")  # a supplier ships on about one day in five
+    tax = table(spark, sf, "lineitem").select(
+        F.col("l_suppkey").cast("string").alias("id"), F.col("l_shipdate").alias("ts"), F.col("l_tax").alias("tax"))
     daily = C.resample(tax, "day", "sum", y="tax")
     return rounded(C.align_exogenous(spine, daily, ["tax", "unseen"], grain=grain)).select("id", "ts", "tax", "unseen")
 

@@ -84,8 +84,7 @@ def gbt_tune(spark, sf):
     """Seeded random candidates over expanding folds."""
     rows, columns = X.feature_splits(_daily(spark, sf), DAILY_FEATURES, origin="1995-01-01 00:00:00")
     folds = splits.fold_table(rows.where("split <> 'test'"), 28, 1, 2)
-    candidates = [c | {"max_depth": 3, "max_leaves": None} for c in boosted.sample_candidates(2)]
-    trials, _, _ = boosted.tune(rows, columns, folds, candidates, 28, round_cap=4)
+    trials, _, _ = boosted.tune(rows, columns, folds, boosted.sample_candidates(2, rounds_limit=8), 28)
     return trials
 
 
@@ -93,10 +92,9 @@ def gbt_tune(spark, sf):
 def gbt_live(spark, sf):
     """Live snapshot of the community series with boosted trees as forecaster."""
     hourly = hourly_events(spark, sf)
-    cfg = HOURLY_FEATURES | {"fourier_weekly_K": 0, "target_lags": [1, 24], "rolling": {"mean": [24], "diff_to_lag": 1}}
-    rows, columns = X.feature_splits(splits.add_split(hourly, *HOURLY_MARKERS), cfg)
-    model = boosted.train(rows, columns, _TREES, round_cap=5).model
-    guess = boosted.forecaster(model, lambda df: X.build_features(df, cfg))
+    rows, columns = X.feature_splits(splits.add_split(hourly, *HOURLY_MARKERS), HOURLY_FEATURES)
+    model = boosted.train(rows, columns, _TREES).model
+    guess = boosted.forecaster(model, lambda df: X.build_features(df, HOURLY_FEATURES))
     return live.snapshot(hourly, guess, pricing({}), "1 HOUR").drop("history")
 
 

@@ -6,6 +6,7 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from loadweave.functions.numeric import safe_ratio
 from loadweave.functions.timeparts import NTZ, first_parsed, slot
 from loadweave.operators.quantiles import exact_quantiles
 from loadweave.operators.series import fill_gaps
@@ -95,9 +96,9 @@ def until(df: DataFrame, focus: str, ts: str = "ts") -> DataFrame:
         (moment > F.col("last")).alias("beyond"), "hit"
     ).first()
     if seen.beyond is None or seen.beyond:
-        raise ValueError("Focus timestamp is beyond available data.")
+        raise ValueError(f"The focus time {focus} lies after the last reading.")
     if not seen.hit:
-        raise ValueError("Focus timestamp not present in dataset.")
+        raise ValueError(f"There is no reading at the focus time {focus}.")
     return df.where(F.col(ts) <= moment)
 
 
@@ -135,9 +136,9 @@ def type_profile(
         rows = F.col("rows")
         if kind != "string":
             return F.when(F.col(f"{c}__binary"), "boolean").otherwise(kind)
-        mostly_number = F.col(f"{c}__numeric") / rows > threshold
-        dated = F.lit("date" in c.lower() or "timestamp" in c.lower()) & (F.col(f"{c}__date") / rows > threshold)
-        few = (F.col(f"{c}__distinct") < 50) | (F.col(f"{c}__distinct") / rows < 0.5)
+        mostly_number = safe_ratio(F.col(f"{c}__numeric"), rows) > threshold
+        dated = F.lit("date" in c.lower() or "timestamp" in c.lower()) & (safe_ratio(F.col(f"{c}__date"), rows) > threshold)
+        few = (F.col(f"{c}__distinct") < 50) | (safe_ratio(F.col(f"{c}__distinct"), rows) < 0.5)
         return (
             F.when(dated, "timestamp")
             .when(mostly_number & F.col(f"{c}__binary"), "boolean")
@@ -150,8 +151,8 @@ def type_profile(
     parts = [
         F.struct(
             F.lit(c).alias("column"),
-            (F.col(f"{c}__numeric") / F.col("rows")).alias("numeric_share"),
-            (F.col(f"{c}__date") / F.col("rows") if kind == "string" else F.lit(0.0)).alias("date_share"),
+            safe_ratio(F.col(f"{c}__numeric"), F.col("rows")).alias("numeric_share"),
+            (safe_ratio(F.col(f"{c}__date"), F.col("rows")) if kind == "string" else F.lit(0.0)).alias("date_share"),
             verdict(c, kind).alias("target_type"),
         )
         for c, kind in kinds.items()

@@ -104,10 +104,32 @@ def dot(coefficients: str, values: Sequence[str] | str) -> Column:
     return F.aggregate(products, F.lit(0.0), lambda total, v: total + v)
 
 
-def usable_features(df: DataFrame, columns: Sequence[str], tol: float = 1e-10) -> list[str]:
+def independent_columns(df: DataFrame, columns: Sequence[str], tol: float = 1e-5) -> list[str]:
+    """Columns that are neither constant nor a linear combination of earlier ones, in order.
+
+    Columns are centred and scaled with moments of a first pass, so neither a
+    large mean nor a small unit hides what is new in them; a column is kept if
+    the length of its new part exceeds ``tol`` of its own. Rows with a missing
+    value are left out.
+    """
+    columns = list(columns)
+    complete = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    for c in columns:
+        complete = complete.where(F.col(c).isNotNull() & ~F.isnan(c))
+    facts = complete.agg(*[f(c).alias(f"{n}_{c}") for c in columns for n, f in (("mean", F.avg), ("std", F.stddev_pop))]).first()
+    spread = {c: facts[f"std_{c}"] for c in columns}
+    varying = [c for c in columns if spread[c] and spread[c] > 1e-12 * max(1.0, abs(facts[f"mean_{c}"]))]
+    if len(varying) < 2:
+        return varying
+    scaled = complete.select(F.lit(1).alias("_one"), *[((F.col(c) - facts[f"mean_{c}"]) / spread[c]).alias(c) for c in varying])
+    gram = unpack(moment_matrix(scaled, ["_one"], varying).first()["moments"], len(varying))
+    return [varying[i] for i in independent(gram, range(len(varying)), tol**2)]
+
+
+def usable_features(df: DataFrame, columns: Sequence[str], tol: float = 1e-5) -> list[str]:
     """Drop non-numeric, constant and collinear feature columns, keeping order.
 
-    Only a k x k matrix and k extremes reach the driver.
+    Only a k x k matrix and moments of k columns reach the driver.
     """
     numeric = ("tinyint", "smallint", "int", "bigint", "float", "double")
     kinds = dict(df.dtypes)
@@ -120,13 +142,10 @@ def usable_features(df: DataFrame, columns: Sequence[str], tol: float = 1e-10) -
         c for c in named
         if ends[f"lo_{c}"] != ends[f"hi_{c}"] or 0 < ends[f"na_{c}"] < ends["n"]
     ]
-    if len(varying) < 2:
-        return varying
-    found = moment_matrix(df.withColumn("_one", F.lit(1)), ["_one"], varying).first()
-    if found is None:
-        return varying
-    gram = unpack(found["moments"], len(varying))
-    return [varying[i] for i in independent(gram, range(len(varying)), tol)]
+    # a column that is constant where it is filled still tells filled rows from others
+    filled = [c for c in varying if ends[f"lo_{c}"] != ends[f"hi_{c}"]]
+    kept = set(independent_columns(df, filled, tol)) if filled else set()
+    return [c for c in varying if c in kept or c not in filled]
 
 
 def feature_diagnostics(df: DataFrame, columns: Sequence[str]) -> dict[str, object]:
@@ -149,9 +168,9 @@ def feature_diagnostics(df: DataFrame, columns: Sequence[str]) -> dict[str, obje
 
 
 def usable_rank(df: DataFrame, columns: Sequence[str]) -> list[str]:
-    """Columns that add a dimension to the feature matrix."""
-    found = moment_matrix(df.withColumn("_one", F.lit(1)), ["_one"], columns).first()
-    if found is None:
-        return []
-    gram = unpack(found["moments"], len(columns))
-    return [columns[i] for i in independent(gram, range(len(columns)))]
+    """Columns that add a dimension to the feature matrix, one constant included."""
+    filled = df.na.drop(subset=list(columns)) if columns else df
+    kept = set(independent_columns(df, columns)) if columns else set()
+    ends = filled.agg(*[F.max(c).alias(c) for c in columns], *[F.min(c).alias(f"lo_{c}") for c in columns]).first() if columns else {}
+    constant = [c for c in columns if c not in kept and ends[c] is not None and ends[c] == ends[f"lo_{c}"] != 0][:1]
+    return [c for c in columns if c in kept or c in constant]

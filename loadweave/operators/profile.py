@@ -8,7 +8,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from loadweave.functions.numeric import safe_ratio
+from loadweave.functions.numeric import finite, safe_ratio
 from loadweave.functions.timeparts import slot
 from loadweave.operators.quantiles import exact_quantiles, iqr_bounds
 from loadweave.operators.series import dense_ranks
@@ -37,7 +37,7 @@ def missing_summary(df: DataFrame) -> DataFrame:
     """Null count and percentage of every column, in one pass."""
     wide = df.agg(
         *[F.count_if(F.col(c).isNull()).alias(f"{c}__missing") for c in df.columns],
-        *[(F.count_if(F.col(c).isNull()) / F.count("*") * 100).alias(f"{c}__pct") for c in df.columns],
+        *[(safe_ratio(F.count_if(F.col(c).isNull()), F.count("*")) * 100).alias(f"{c}__pct") for c in df.columns],
     )
     return _long(wide, df.columns, {"missing_count": "__missing", "missing_pct": "__pct"})
 
@@ -126,7 +126,7 @@ def zero_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def histogram(df: DataFrame, value: str, bins: int = 50) -> DataFrame:
     """Equal-width counts between the column's extremes (last bin closed)."""
-    present = df.where(F.col(value).isNotNull())
+    present = df.where(finite(F.col(value).cast("double")).isNotNull())
     ends = present.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
     lo, hi = ends.select("lo").scalar(), ends.select("hi").scalar()
     width = (hi - lo) / bins

@@ -13,8 +13,8 @@ Two ways to evaluate a window over a series are offered everywhere:
   same as the single window.
 
 The order must be unique inside a meter (clean with ``keep_first``, or pass a
-tie-break column); rows without a key or a time have no place in a series and
-are left out by the chunked form. A bucket of one meter should fit a task:
+tie-break column). Rows without a time come first in their series, and rows
+without a key form one of their own, in either form. A bucket of one meter should fit a task:
 after de-duplication it holds at most one row per tick of the meter's clock.
 """
 
@@ -42,7 +42,7 @@ def with_position(df: DataFrame, keys: Sequence[str], order: Sequence[str], grai
     per (key, bucket) travel to the running total.
     """
     keys = list(keys)
-    bucketed = df.na.drop(subset=keys + [order[0]]).withColumn("_bucket", slot(order[0], grain))
+    bucketed = df.withColumn("_bucket", slot(order[0], grain))
     ahead = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         bucketed.groupBy(*keys, "_bucket")
@@ -51,12 +51,21 @@ def with_position(df: DataFrame, keys: Sequence[str], order: Sequence[str], grai
     )
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
     return (
-        bucketed.join(offsets, [*keys, "_bucket"])
+        same_bucket(bucketed, offsets, [*keys, "_bucket"])
         .withColumn("_pos", F.col("_offset") + F.row_number().over(inside) - 1)
         .drop("_offset")
     )
 
 
+def same_bucket(rows: DataFrame, facts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Add the columns of ``facts``, one row per key, to ``rows``; null keys match each other."""
+    other = facts.withColumnsRenamed({k: f"_same_{k}" for k in keys})
+    condition = F.lit(True)
+    for k in keys:
+        condition = condition & F.col(k).eqNullSafe(F.col(f"_same_{k}"))
+    return rows.join(other, condition).drop(*[f"_same_{k}" for k in keys])
+
+
 def over_series(
     df: DataFrame,
     keys: Sequence[str],
@@ -136,7 +145,7 @@ def run_lengths(
         Window.partitionBy(*keys, "_bucket").orderBy("_pos")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    return placed.join(carried, [*keys, "_bucket"]).select(
+    return same_bucket(placed, carried, [*keys, "_bucket"]).select(
         *df.columns,
         *[
             (
@@ -188,7 +197,7 @@ def fill_gaps(
     inside = Window.partitionBy(*keys, "_bucket").orderBy(ts)
     back = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     forth = inside.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    return bucketed.join(carried, [*keys, "_bucket"]).select(
+    return same_bucket(bucketed, carried, [*keys, "_bucket"]).select(
         *rest,
         *[
             F.coalesce(

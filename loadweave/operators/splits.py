@@ -108,6 +108,7 @@ def assign_folds_by_row(
     the meter. Offsets come from one count per meter, added up first inside and
     then across leading characters of the id.
     """
+    df = df.na.drop(subset=[id_col, ts])  # only dated rows of a meter have a place in the sorted panel
     placed = with_position(df, [id_col], [ts], grain).drop("_bucket")
     meters = df.groupBy(id_col).agg(F.count("*").alias("_c")).withColumn("_head", F.substring(id_col, 1, prefix))
     before = Window.unboundedPreceding, -1

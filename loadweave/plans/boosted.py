@@ -19,10 +19,16 @@ from loadweave.functions.metrics import score
 from loadweave.operators.series import tail_rows
 from loadweave.operators.splits import assign_folds
 
-ROUND_CAP = 200
+DEEPEST = 30  # Spark ML's own limit
 
 
-def tree_settings(params: Mapping[str, object], round_cap: int = ROUND_CAP) -> dict[str, object]:
+def _depth(wanted: int) -> int:
+    if wanted > DEEPEST:
+        raise ValueError(f"Trees are at most {DEEPEST} levels deep, {wanted} were asked for")
+    return wanted
+
+
+def tree_settings(params: Mapping[str, object]) -> dict[str, object]:
     """Usual boosting parameters under their Spark ML names.
 
     Regularisation of leaf weights has no counterpart and is left out; a leaf
@@ -30,8 +36,8 @@ def tree_settings(params: Mapping[str, object], round_cap: int = ROUND_CAP) -> d
     """
     names = {
         "learning_rate": ("stepSize", float),
-        "n_estimators": ("maxIter", lambda v: min(int(v), round_cap)),
-        "max_depth": ("maxDepth", lambda v: min(int(v), 30)),
+        "n_estimators": ("maxIter", int),
+        "max_depth": ("maxDepth", lambda v: _depth(int(v))),
         "subsample": ("subsamplingRate", float),
         "max_bin": ("maxBins", int),
         "min_child_weight": ("minInstancesPerNode", lambda v: max(1, math.ceil(float(v)))),
@@ -41,15 +47,14 @@ def tree_settings(params: Mapping[str, object], round_cap: int = ROUND_CAP) -> d
     }
     out = {names[k][0]: names[k][1](v) for k, v in params.items() if k in names}
     if params.get("max_leaves") and not params.get("max_depth"):
-        out["maxDepth"] = min(30, math.ceil(math.log2(int(params["max_leaves"]))))
+        out["maxDepth"] = _depth(math.ceil(math.log2(int(params["max_leaves"]))))
     return out
 
 
 def quick_params(params: Mapping[str, object]) -> dict[str, object]:
-    """Smaller trees and fewer rounds for a trial run."""
+    """Smaller trees for a trial run, and fewer rounds where none are configured."""
     return {
-        "learning_rate": 0.1, **params,
-        "n_estimators": min(100, int(params.get("n_estimators", 500))),
+        "learning_rate": 0.1, "n_estimators": 100, **params,
         "max_depth": min(int(params.get("max_depth", 6)), 4),
     }
 
@@ -88,14 +93,13 @@ def train(
     params: Mapping[str, object] | None = None,
     y: str = "y",
     refit: bool = True,
-    round_cap: int = ROUND_CAP,
 ) -> BoostedResult:
     """Fit on train with early stopping on val, refit on both with that many rounds.
 
     ``rows`` is the complete-row feature frame with its ``split`` column. The
     validation errors come from the model before the refit, as their label says.
     """
-    tree = tree_settings(params or {}, round_cap)
+    tree = tree_settings(params or {})
     kept = rows.persist()
     fitting = kept.where("split <> 'test'").withColumn("_val", F.col("split") == "val")
     has_val = not fitting.where("_val").isEmpty()
@@ -152,7 +156,6 @@ def tune(
     candidates: Sequence[Mapping[str, object]],
     horizon: int,
     y: str = "y",
-    round_cap: int = ROUND_CAP,
     parallel: int = 2,
 ) -> tuple[DataFrame, dict[str, object], DataFrame]:
     """Mean fold errors per candidate, the best candidate, its test errors.
@@ -179,7 +182,7 @@ def tune(
         return score(model.transform(part.where("part = 'val'")), y=y).first().asDict()
 
     for number, params in enumerate(candidates):
-        tree = tree_settings(params, round_cap)
+        tree = tree_settings(params)
         found: list[dict[str, float]] = []
         stopped = False
         with ThreadPoolExecutor(parallel) as pool:
@@ -204,7 +207,10 @@ def tune(
 
     last = tail_rows(train_val, ["id"], ["ts"], horizon).select("id", "ts").withColumn("_val", F.lit(True))
     marked = train_val.join(last, ["id", "ts"], "left").withColumn("_val", F.coalesce("_val", F.lit(False)))
-    model = _fit(marked.persist(), features, y, tree_settings(winner, round_cap), "_val")
+    marked = marked.persist()
+    model = _fit(marked, features, y, tree_settings(winner), "_val")
+    marked.unpersist()
+    tagged.unpersist()
     holdout = score(model.transform(rows.where("split = 'test'")), y=y)
     return table, winner, holdout
 

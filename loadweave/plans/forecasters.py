@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from loadweave.functions.metrics import score
 from loadweave.operators.features import build_features, feature_splits, model_rows
+from loadweave.operators.least_squares import usable_features
 from loadweave.operators.selection import (
     QUICK_ORDERS, QUICK_SEASONAL, best_candidate, candidates_per_series, order_grid,
 )
@@ -81,6 +82,8 @@ class _Arima:
         if not self.exogenous:
             return df, orders, [], None
         rows, columns = feature_splits(df, config.get("features"), origin=config.get("origin"))
+        # constant and collinear columns would act as an intercept or make the fit ambiguous
+        columns = usable_features(rows.where("split = 'train'"), columns)
         lengths = rows.where("split = 'train'").groupBy("id").agg(F.count("*").alias("n"))
         return rows, orders, columns, candidates_per_series(lengths, orders)
 
@@ -165,7 +168,6 @@ class Boosted:
         out = boosted.train(
             rows, columns, boosted.quick_params(params) if _quick(config) else params,
             refit=bool((config.get("fit") or {}).get("refit_on_full", True)),
-            round_cap=int(config.get("round_cap", boosted.ROUND_CAP)),
         )
         return TrainResult(out.metrics, out.predictions, out.model)
 
@@ -177,8 +179,8 @@ class Boosted:
                            int(wish.get("cv_folds", 5)), min_points=wish.get("min_cv_train_points"))
         count = int(wish.get("n_trials", 50) if _quick(config) else wish.get("n_trials_final", 150))
         trials, _, holdout = boosted.tune(
-            rows, columns, folds, boosted.sample_candidates(count, int(wish.get("seed", 42))), horizon,
-            round_cap=int(config.get("round_cap", boosted.ROUND_CAP)),
+            rows, columns, folds,
+            boosted.sample_candidates(count, int(wish.get("seed", 42)), int(wish.get("n_estimators", 5000))), horizon,
         )
         best = trials.where("NOT stopped").orderBy("WAPE", "candidate").limit(1)
         return trials, best.withColumn("holdout_WAPE", holdout.select("WAPE").scalar())

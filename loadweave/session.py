@@ -37,12 +37,14 @@ def prepare(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """Folder all executors can reach, used for checkpoints and stream state.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where nothing is set
-    (tests on one machine) a temporary folder is made.
+    The cluster names it in ``spark.checkpoint.dir``. Only on one machine (a
+    local master, as in tests) a temporary folder is made where nothing is set.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("Set spark.checkpoint.dir to a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="loadweave-")
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder

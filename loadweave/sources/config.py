@@ -12,7 +12,7 @@ def load_yaml(path: str | Path) -> dict:
     """Read a mapping; a missing file or another top-level type is an error."""
     file = Path(path)
     if not file.is_file():
-        raise FileNotFoundError(f"Configuration file not found: {file}")
+        raise FileNotFoundError(f"There is no configuration at {file}")
     content = yaml.safe_load(file.read_text(encoding="utf-8"))
     if content is None:
         return {}

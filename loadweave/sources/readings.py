@@ -67,7 +67,7 @@ def load_dataset(spark: SparkSession, path: str, schema: T.StructType | None = N
     elif kind == ".csv":
         df = spark.read.csv(path, header=True, schema=schema, mode="PERMISSIVE")
     else:
-        raise ValueError(f"Unsupported file extension: {kind}")
+        raise ValueError(f"No reader for files that end in {kind!r}; use .parquet or .csv")
     return blank_to_null(strip_names(df))
 
 
@@ -97,36 +97,49 @@ def meter_ids(df: DataFrame, id_col: str, exclude: Sequence[str] = ()) -> DataFr
     return exclude_meters(ids, exclude).distinct().orderBy("id")
 
 
-def guess_dayfirst(df: DataFrame, column: str, sample: int = 20) -> bool:
-    """Look at a few filled values: do any read like 31/12/2020?"""
+def guess_dayfirst(df: DataFrame, column: str) -> bool:
+    """Does the column read like 31/12/2020? Decided from all its values, in one aggregate.
+
+    A second part above 12 means month first, a first part above 12 day first;
+    where neither occurs, day first is taken if the year comes last.
+    """
     parts = F.filter(F.split(F.trim(column), "[^0-9]+"), lambda p: p != "")
-    head = df.where(F.trim(column) != "").select(parts.alias("p")).limit(sample)
-    looks = (F.size("p") >= 3) & (F.length(F.element_at("p", 1)) <= 2) & (F.length(F.element_at("p", -1)) == 4)
-    return bool(head.agg(F.bool_or(F.when(F.size("p") >= 1, looks))).first()[0])
+    year_last = (F.size("p") >= 3) & (F.length(F.get("p", F.lit(0))) <= 2) & (F.length(F.get("p", F.lit(2))) == 4)
+    number = lambda k: F.expr(f"try_cast(get(p, {k}) AS int)")
+    found = df.select(parts.alias("p")).agg(
+        F.bool_or(year_last).alias("shape"), F.bool_or(year_last & (number(0) > 12)).alias("day"),
+        F.bool_or(year_last & (number(1) > 12)).alias("month"),
+    ).first()
+    return bool(found["shape"]) and (bool(found["day"]) or not found["month"])
 
 
 def _date_formats(dayfirst: bool) -> list[str | None]:
     return [None, "d/M/yyyy H:mm", "d/M/yyyy"] if dayfirst else [None, "M/d/yyyy H:mm", "M/d/yyyy"]
 
 
-def ensure_timestamp(df: DataFrame, target: str = "timestamp", dayfirst: bool = True) -> DataFrame:
+def ensure_timestamp(df: DataFrame, target: str = "timestamp", dayfirst: bool | None = None) -> DataFrame:
     """Fill ``target`` from itself, date plus time, or date; then from the
-    aggregate date where that failed."""
+    aggregate date where that failed.
+
+    Without ``dayfirst`` the order of day and month is read off each text column."""
     roles = identify_columns(df)
-    formats = _date_formats(dayfirst)
+
+    def formats_of(column: str) -> list[str | None]:
+        return _date_formats(guess_dayfirst(df, column) if dayfirst is None else dayfirst)
+
     own, date, time = roles["timestamp"], roles["date"] or roles["aggregate_date"], roles["time"]
     fallback = roles["aggregate_date"]
 
     def parsed(column: str) -> Column:
         if dict(df.dtypes)[column].startswith("timestamp"):
             return F.col(column).cast(NTZ)
-        return first_parsed(F.trim(F.col(column)), formats)
+        return first_parsed(F.trim(F.col(column)), formats_of(column))
 
     if own:
         main = parsed(own)
     elif date and time:
         both = F.concat_ws(" ", F.trim(F.col(date)), F.trim(F.col(time)))
-        main = F.try_to_timestamp(both, F.lit("d/M/yyyy H:mm")).cast(NTZ)
+        main = F.try_to_timestamp(both, F.lit(formats_of(date)[1])).cast(NTZ)
     elif date:
         main = parsed(date)
     else:
@@ -159,7 +172,8 @@ def load_series(
         F.col(id_col).cast("string").alias("id"), when.alias("ts"), F.col(target).cast("double").alias("y"), *order
     ).where(F.col("ts").isNotNull() & F.col("id").isNotNull())
     clean = picked.withColumn("y", F.when(~F.isnan("y"), F.col("y")))
-    series = keep_first(exclude_meters(clean, cfg.get("exclude_ids") or []), ["id", "ts"], [*order, "y"]).drop(*order)
+    clean = clean.withColumn("_gap", F.col("y").isNull())  # a reading goes before a gap at the same time
+    series = keep_first(exclude_meters(clean, cfg.get("exclude_ids") or []), ["id", "ts"], [*order, "_gap", "y"]).drop(*order, "_gap")
 
     low, high = cfg.get("clip_low_pct"), cfg.get("clip_high_pct")
     if low is not None and high is not None:

@@ -52,13 +52,15 @@ def alert_rows(hourly: DataFrame, tariff: Mapping[str, float]) -> DataFrame:
     )
 
 
-def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+def run_available(stream: DataFrame, name: str, mode: str = "append", folder: str | None = None) -> DataFrame:
     """Process everything that has arrived, then return what was written.
 
-    State and output live in the shared folder, so a restarted job resumes.
+    State and output live under ``folder``; a job started again with the same
+    folder and name resumes there. Without one, a new folder in the shared one
+    is used and nothing is resumed.
     """
     spark = stream.sparkSession
-    root = f"{shared_folder(spark)}/{name}-{uuid4().hex}"
+    root = f"{folder}/{name}" if folder else f"{shared_folder(spark)}/{name}-{uuid4().hex}"
     query = (
         stream.writeStream.outputMode(mode).format("parquet")
         .option("checkpointLocation", f"{root}/state")

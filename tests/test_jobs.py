@@ -133,8 +133,8 @@ def test_train_jobs_end_to_end(spark, tmp_path, model):
     ("sarima", CONFIGS["sarima"]),
     ("prophet", {**CONFIGS["prophet"], "tune_grid": {"changepoint_prior_scale": [0.02, 0.1]}}),
     ("lstm", {"tune_grid": {"window": [3, 6], "regParam": [0.0]}}),
-    ("xgboost", {**CONFIGS["xgboost"], "quick": True, "round_cap": 2,
-                 "tuning": {"n_trials": 1, "cv_folds": 1, "cv_horizon_hours": 8, "cv_gap_hours": 1}}),
+    ("xgboost", {**CONFIGS["xgboost"], "quick": True,
+                 "tuning": {"n_trials": 1, "n_estimators": 2, "cv_folds": 1, "cv_horizon_hours": 8, "cv_gap_hours": 1}}),
 ])
 def test_tune_jobs(spark, tmp_path, model, settings):
     raw, dataset = _smoke(spark)
