@@ -32,8 +32,8 @@ def keep_harmless(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SimHash near-dedup on five words: of each group the document with the smallest id stays."""
-    return simhash.one_per_group(docs, budget=3, width=5)
+    """SimHash near-dedup: of each group with a similarity of 0.8 or more in five-word shingles the smallest id stays."""
+    return simhash.one_per_group(docs, similarity=0.8, width=5)
 
 
 def keep_passages_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

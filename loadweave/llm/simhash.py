@@ -12,6 +12,13 @@ walked by Spark: a subtree meets the subtrees whose prefix differs in at most
 walks the two tries together, depth first in blocks, so memory is bounded. The
 group returns a spanning forest of the links it found, not all pairs.
 
+`clustered` links fingerprints as such. `near_duplicates` looks for texts whose
+sets of five-word shingles have a Jaccard similarity of 0.8 or more, which
+leaves more than three bits of a shingle fingerprint different. It joins tries
+of several fingerprints over the set of single words, which an edit disturbs
+less, and keeps a link only if the exact similarity holds. A pair is missed if
+no fingerprint brings it within the budget and no chain of others connects it.
+
 Null and empty texts have fingerprint zero and are linked like any other.
 Equal fingerprints are one trie leaf however many documents carry them. The
 depth of the top levels follows the number of distinct fingerprints.
@@ -106,15 +113,18 @@ def _meet(a: Trie, b: Trie, start: int, budget: int, same: bool) -> Iterator[tup
             stack.append((level + 1, x[ok], y[ok], cost[ok]))
 
 
-def _hook(root: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
-    """Unite x and y in `root`, which names the smallest member."""
+def _hook(root: np.ndarray, x: np.ndarray, y: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Unite x and y in `root`, which names the smallest member; the pairs that united something."""
+    used = []
     while True:
         rx, ry = root[x], root[y]
         apart = rx != ry
         if not apart.any():
-            return
+            return used
         x, y, rx, ry = x[apart], y[apart], rx[apart], ry[apart]
-        np.minimum.at(root, np.maximum(rx, ry), np.minimum(rx, ry))
+        _, one = np.unique(np.maximum(rx, ry), return_index=True)  # each larger root is hooked once
+        root[np.maximum(rx, ry)[one]] = np.minimum(rx, ry)[one]
+        used.append((x[one], y[one]))
         while (deeper := root[root]).tobytes() != root.tobytes():
             root[:] = deeper
 
@@ -131,16 +141,15 @@ def _links(depth: int, budget: int):
         tb = ta if same else Trie(b, depth, cuts)
         shift = 64 - depth
         start = int(np.bitwise_count((a[0] >> np.uint64(shift)) ^ (b[0] >> np.uint64(shift)))) if depth else 0
-        for x, y in _meet(ta, tb, start, budget, same):
-            _hook(root, x, y if same else y + len(a))
-        child = np.flatnonzero(root != np.arange(len(values)))
-        return pd.DataFrame({"u": values[child].view(np.int64), "v": values[root[child]].view(np.int64)})
+        found = [pair for x, y in _meet(ta, tb, start, budget, same) for pair in _hook(root, x, y if same else y + len(a))]
+        u, v = (np.concatenate([np.zeros(0, np.int64), *[pair[k] for pair in found]]) for k in (0, 1))
+        return pd.DataFrame({"u": values[u].view(np.int64), "v": values[v].view(np.int64)})
 
     return run
 
 
 def near_links(values: DataFrame, budget: int = 3, leaves: int = LEAVES) -> DataFrame:
-    """Links (u, v) that connect all values of the long column `fp` within `budget` differing bits."""
+    """Links (u, v), a spanning forest of them, that connect all values of the long column `fp` within `budget` differing bits."""
     n = values.count()
     depth = max(0, math.ceil(math.log2(max(1, n) / leaves)))
     masks = sorted(sum(1 << k for k in c) for d in range(budget + 1) for c in combinations(range(depth), d))
@@ -179,8 +188,67 @@ def clustered(docs: DataFrame, budget: int = 3, width: int = 3, doc_id: str = "d
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def one_per_group(docs: DataFrame, budget: int = 3, width: int = 3) -> DataFrame:
-    """The document with the smallest id of each group; rows without an id cannot be named and stay."""
-    keep = clustered(docs.where("doc_id is not null"), budget, width).where("doc_id = component_id").select("doc_id").distinct()
+def word_fingerprints(raw: bytes, seeds: int) -> list[int]:
+    """One fingerprint per seed over the set of words."""
+    words = list(set(raw.lower().split()))
+    out = []
+    for seed in range(seeds):
+        hashes = np.array([xxhash.xxh3_64_intdigest(w, seed) for w in words], dtype="<u8")
+        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        out.append(np.packbits(2 * bits.sum(0, dtype=np.int64) > len(words), bitorder="little").view("<i8")[0])
+    return out
+
+
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    """Hashes of the distinct shingles; fewer words are one shingle, no word none."""
+    words = (text or "").encode().lower().split()
+    spans = [words[k:] for k in range(width)] if len(words) >= width else [[w] for w in words]
+    return np.unique(np.array([xxhash.xxh32_intdigest(b" ".join(s)) for s in zip(*spans)], dtype=np.uint32)).astype(np.int64)
+
+
+def near_duplicates(docs: DataFrame, similarity: float = 0.8, width: int = 5, seeds: int = 6, budget: int = 3) -> DataFrame:
+    """(doc_id, component_id) of every row with an id: linked by equal text or by verified similarity."""
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    names = [f"f{k}" for k in range(seeds)]
+
+    def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            raws = [(t or "").encode() for t in pdf["text"]]
+            prints = np.array([word_fingerprints(r, seeds) for r in raws], dtype=np.int64).reshape(-1, seeds)
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "digest": [xxhash.xxh3_128_digest(r) for r in raws],
+                                **{n: prints[:, k] for k, n in enumerate(names)}})
+
+    def shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "shingles": [shingle_set(t, width) for t in pdf["text"]]})
+
+    sketches = stored(rows.mapInPandas(sketch, "doc_id long, digest binary, " + ", ".join(f"{n} long" for n in names)), "sketches")
+    texts = stored(sketches.groupBy("digest").agg(F.min("doc_id").alias("head"), *[F.first(n).alias(n) for n in names]), "texts")
+    pairs = None
+    for n in names:
+        values = stored(texts.groupBy(F.col(n).alias("fp")).agg(F.min("head").alias("least")), "values")
+        links = near_links(values.select("fp"), budget)
+        near = links.join(values.toDF("u", "a"), "u").join(values.toDF("v", "b"), "v").select("a", "b")
+        equal = texts.select(F.col(n).alias("fp"), "head").join(values, "fp").where("head <> least").select(F.col("least").alias("a"), F.col("head").alias("b"))
+        both = stored(near.unionAll(equal), "candidates")
+        pairs = both if pairs is None else pairs.unionAll(both)
+    pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    needed = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    sets = stored(rows.join(needed, "doc_id", "left_semi").mapInPandas(shingles, "doc_id long, shingles array<long>"), "shingles")
+    common = F.size(F.array_intersect("x", "y"))
+    union = F.size("x") + F.size("y") - common
+    similar = (
+        pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+        .where((union == 0) | (common >= similarity * union)).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    )
+    roots = components(similar)
+    named = texts.select("digest", "head").join(roots.withColumnRenamed("node", "head"), "head", "left")
+    classes = stored(named.select("digest", F.coalesce("root", "head").alias("component_id")), "classes")
+    return sketches.join(classes, "digest").select("doc_id", "component_id")
+
+
+def one_per_group(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
+    """The document with the smallest id of each group of near duplicates; rows without an id cannot be named and stay."""
+    keep = near_duplicates(docs, similarity, width).where("doc_id = component_id").select("doc_id").distinct()
     chosen = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return chosen.unionByName(docs.where("doc_id is null"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from loadweave.llm import simhash
 from loadweave.llm.catalog import QUERIES
 from loadweave.llm.components import components
-from tests.llm.helpers import empty_documents, odd_documents, odd_texts, prose, words
+from tests.llm.helpers import documents, empty_documents, odd_documents, odd_texts, prose, words
 
 
 def plain_fingerprint(text: str | None, width: int = 3) -> int:
@@ -80,15 +80,51 @@ def test_odd_rows(spark):
     assert want[4] == want[5] == want[6] == 4
 
 
+def plain_groups(texts: dict, similarity: float = 0.8) -> dict:
+    sets = {}
+    for i, t in texts.items():
+        w = words(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or ({tuple(w)} if w else set())
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sorted(sets):
+        for b in sorted(sets):
+            union = len(sets[a] | sets[b])
+            if a < b and (not union or len(sets[a] & sets[b]) >= similarity * union):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {i: find(i) for i in sets}
+
+
 def test_one_document_of_each_group_stays(spark):
-    docs = odd_documents(spark).withColumn("fp", F.lit("x"))
-    kept = simhash.one_per_group(docs, width=5)
+    docs = odd_documents(spark).withColumn("fp", F.lit("x")).withColumn("a", F.lit(1))
+    kept = simhash.one_per_group(docs)
     ids = sorted((r.doc_id for r in kept.collect()), key=lambda x: (x is None, x))
-    prints = {i: plain_fingerprint(t, 5) for i, t in odd_texts() if i is not None}
-    assert ids == sorted(set(plain_classes(prints).values())) + [None]
+    assert ids == sorted(set(plain_groups({i: t for i, t in odd_texts() if i is not None}).values())) + [None]
     assert kept.columns == docs.columns
 
 
+def test_edited_copies_are_found(spark):
+    rng, texts = random.Random(11), {}
+    for k in range(0, 400, 4):
+        base = prose(rng, rng.randrange(60, 400)).split()
+        for copy in range(4):
+            changed = list(base)
+            for _ in range(len(base) * copy // 110):  # up to about 2.7 edits in 100 words
+                changed[rng.randrange(len(base))] = prose(rng, 1)
+            texts[k + copy] = " ".join(changed)
+    want = plain_groups(texts)
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(documents(spark, list(texts.items()))).collect()}
+    linked = [i for i in texts if want[i] != i]
+    assert sum(got[i] == want[i] for i in linked) >= 0.95 * len(linked) > 100
+    assert all(want[got[i]] == want[i] for i in texts)  # nothing is joined that should not be
+
+
 def test_empty_table(spark):
     assert simhash.clustered(empty_documents(spark)).count() == 0
     assert simhash.one_per_group(empty_documents(spark)).count() == 0
