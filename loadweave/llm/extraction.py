@@ -87,13 +87,17 @@ def decoded(parent: list[int], chance: np.ndarray, weight: np.ndarray, turn: flo
     return np.array(state) == 1
 
 
-def main_text(html: str | None, forest: Forest) -> str:
-    page = Page(html)
-    if not page.blocks:
-        return ""
-    x = features(page)
-    keep = decoded(page.parent, forest.chance(x), 1.0 + np.minimum(1.0, x[:, 0] / 6))
-    return " ".join(text for node, text in page.blocks if keep[node] and text)
+def main_texts(pages: list[str | None], forest: Forest) -> list[str]:
+    """Main text of each page; the nodes of all pages are scored together."""
+    trees = [Page(html) for html in pages]
+    described = [features(page) for page in trees]
+    chances = forest.chance(np.concatenate(described)) if described else np.zeros(0)
+    out, at = [], 0
+    for page, x in zip(trees, described):
+        keep = decoded(page.parent, chances[at : at + len(x)], 1.0 + np.minimum(1.0, x[:, 0] / 6))
+        out.append(" ".join(text for node, text in page.blocks if keep[node] and text))
+        at += len(x)
+    return out
 
 
 def made_page(rng: np.random.Generator) -> str:
@@ -212,7 +216,7 @@ def extracted(pages: DataFrame, forest: Forest | None = None, html: str = "html"
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             done = pdf[[f.name for f in kept]].copy()
-            done[column] = [main_text(h, forest) for h in pdf[html]]
+            done[column] = main_texts(pdf[html].tolist(), forest)
             yield done
 
     return pages.drop(column).mapInPandas(run, schema)

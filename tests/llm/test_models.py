@@ -82,7 +82,7 @@ def test_unseen_layouts(forest):
         html = extraction.made_page(np.random.default_rng([3, k]))
         page = Page(html)
         want = [w for node, t in page.blocks if page.label[node] == 1 for w in t.split()]
-        got = extraction.main_text(html, forest).split()
+        got = extraction.main_texts([html], forest)[0].split()
         right += sum(min(want.count(w), got.count(w)) for w in set(want))
         wanted, given = wanted + len(want), given + len(got)
     assert right / wanted > 0.95 and right / given > 0.95
@@ -96,7 +96,7 @@ def test_page_parts_that_are_left_out(forest):
     <!-- gone --><div class="ad">Buy this now.</div><p>{words(5)}</article><aside class="sidebar"><h3>Related</h3><ul><li><a href=/c>One</a></ul></aside>
     <section id="comments"><div class="comment"><b>Ann</b><p>I do not agree, at all.</p></div></section></div>
     <form class="search"><input name=q><button>Go</button></form><footer>&copy; Site</footer>"""
-    assert extraction.main_text(html, forest) == f"Head & line {words(6)} Second bold x. {words(5)}"
+    assert extraction.main_texts([html], forest)[0] == f"Head & line {words(6)} Second bold x. {words(5)}"
 
 
 def test_decoding_forbids_contradictions():
