@@ -21,6 +21,7 @@ has no U+2581 of its own; those come back as spaces.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame, types as T
 MARK = "▁"
 UNKNOWN = 10.0
 GRAIN = 256  # scores are multiples of 1 / GRAIN
-_CACHE_RUNS, _CACHE_BYTES = 300_000, 64
+_CACHE_RUNS, _CACHE_BYTES = 400_000, 64
 
 
 class DoubleArray:
@@ -134,28 +135,36 @@ def viterbi(data: bytes, v: Vocabulary) -> list[int]:
     """Ids of the best segmentation of a marked run."""
     n = len(data)
     best: list[int | None] = [None] * (n + 1)
-    came: list[tuple[int, int]] = [(0, 0)] * (n + 1)
+    start, used = [0] * (n + 1), [-1] * (n + 1)  # of the best last piece up to each place
     best[0] = 0
-    scores, matches = v.scores, v.trie.matches
+    base, check, value, scores, unknown = v.trie.base, v.trie.check, v.trie.value, v.scores, v.unknown
     at = 0
     while at < n:
         lead = data[at]
-        width = 1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
-        here, single = best[at], False
-        for end, piece in matches(data, at):
-            single = single or end == at + width
-            total = here + scores[piece]
-            if best[end] is None or total > best[end]:
-                best[end], came[end] = total, (at, piece)
-        end = at + width
-        if not single and (best[end] is None or here + v.unknown > best[end]):
-            best[end], came[end] = here + v.unknown, (at, -1)
-        at += width
+        after = at + (1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4)
+        here, single, node, end = best[at], False, 0, at
+        while end < n:  # walk the trie as far as it goes
+            child = base[node] + data[end]
+            if check[child] != node or not child:
+                break
+            node, end = child, end + 1
+            piece = value[node]
+            if piece >= 0:
+                if end == after:
+                    single = True
+                total = here + scores[piece]
+                if best[end] is None or total > best[end]:
+                    best[end], start[end], used[end] = total, at, piece
+        if not single and (best[after] is None or here + unknown > best[after]):
+            best[after], start[after], used[after] = here + unknown, at, -1
+        at = after
     out: list[int] = []
     while n:
-        start, piece = came[n]
-        out += [piece] if piece >= 0 else [v.byte_ids[c] for c in reversed(data[start:n])]
-        n = start
+        if used[n] >= 0:
+            out.append(used[n])
+        else:
+            out += [v.byte_ids[c] for c in reversed(data[start[n]:n])]
+        n = start[n]
     return out[::-1]
 
 
@@ -172,7 +181,7 @@ class Encoder:
         for run in self.v.cut.findall(marked) if self.v.cut else [marked]:
             ids = cache.get(run)
             if ids is None:
-                ids = np.array(viterbi(run.encode(), self.v), dtype="<u4").tobytes()
+                ids = array("I", viterbi(run.encode(), self.v)).tobytes()
                 if len(run) <= _CACHE_BYTES:
                     if len(cache) >= _CACHE_RUNS:
                         cache.clear()
@@ -181,6 +190,9 @@ class Encoder:
         return b"".join(out)
 
 
+_ENCODERS: dict[str, Encoder] = {}  # one per worker process and file, kept from task to task
+
+
 def decode_ids(ids, v: Vocabulary) -> str:
     raw = v.raw
     text = b"".join([raw[i] for i in ids]).decode("utf-8", "replace").replace(MARK, " ")
@@ -194,7 +206,7 @@ def encoded(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     schema = T.StructType([*kept.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("ids_crc32", T.LongType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = Encoder(vocabulary.value)
+        encode = _ENCODERS.get(path) or _ENCODERS.setdefault(path, Encoder(vocabulary.value))
         for pdf in batches:
             raw = [encode(t) for t in pdf[text]]
             yield pdf.assign(ids=[np.frombuffer(r, "<i4") for r in raw], ids_crc32=[crc32(r) for r in raw])
