@@ -154,3 +154,20 @@ def test_blocks_do_not_change_pairs(monkeypatch):
 def test_long_text_is_read_whole():
     text = prose(random.Random(2), 30_000)
     assert simhash.fingerprint(text) == plain_fingerprint(text) != simhash.fingerprint(text[: len(text) // 2])
+
+
+def groups_of(spark, texts: dict) -> dict:
+    return {r.doc_id: r.component_id for r in simhash.near_duplicates(documents(spark, list(texts.items()))).collect()}
+
+
+def test_copies_with_blocks_added_cut_or_inserted_are_all_found(spark):
+    rng, texts = random.Random(21), {}
+    for k in range(0, 360, 4):
+        base = prose(rng, rng.choice([60, 100, 300])).split()
+        size, at = len(base) * rng.randrange(4, 19) // 100, rng.randrange(len(base))
+        block = prose(rng, size).split()
+        for n, copy in enumerate([base, base + block, base[: len(base) - size], base[:at] + block + base[at:]]):
+            texts[k + n] = " ".join(copy)
+    want = plain_groups(texts)
+    assert sum(want[i] != i for i in texts) > 200
+    assert groups_of(spark, texts) == want
