@@ -171,3 +171,25 @@ def test_copies_with_blocks_added_cut_or_inserted_are_all_found(spark):
     want = plain_groups(texts)
     assert sum(want[i] != i for i in texts) > 200
     assert groups_of(spark, texts) == want
+
+
+def star_group(rng: random.Random, n: int, size: int = 200, edits: int = 3) -> list[str]:
+    """A base and copies that hold the similarity with the base but not with each other."""
+    base, out = prose(rng, size).split(), []
+    for k in range(n):
+        copy = list(base)
+        for at in range(edits) if k else ():
+            copy[(k * 13 + at * (size // edits) + rng.randrange(20)) % size] = f"edit{k}x{at}"
+        out.append(" ".join(copy))
+    return out
+
+
+@pytest.mark.parametrize("few", [8, 64])
+def test_a_star_of_copies_is_one_group(spark, monkeypatch, few):
+    monkeypatch.setattr(simhash, "FEW", few)
+    monkeypatch.setattr(simhash, "BLOCK_SETS", 16)
+    texts = dict(enumerate(star_group(random.Random(4), 150)))
+    texts = {(k * 37) % 150: t for k, t in texts.items()}  # the base is not the smallest id
+    want = plain_groups(texts)
+    assert len(set(want.values())) < 10
+    assert groups_of(spark, texts) == want
