@@ -193,3 +193,17 @@ def test_a_star_of_copies_is_one_group(spark, monkeypatch, few):
     want = plain_groups(texts)
     assert len(set(want.values())) < 10
     assert groups_of(spark, texts) == want
+
+
+def test_texts_of_the_same_words_are_compared_with_each_other(spark):
+    rng, texts = random.Random(6), {}
+    for k in range(0, 60, 3):
+        lines = [prose(rng, 12) for _ in range(12)]
+        other = rng.sample(lines, len(lines))
+        swapped = " ".join(other).split()
+        at = rng.randrange(10, 100)
+        swapped[at], swapped[at + 1] = swapped[at + 1], swapped[at]
+        texts |= {k: " ".join(lines), k + 1: " ".join(other), k + 2: " ".join(swapped)}
+    want = plain_groups(texts)
+    assert sum(want[k + 2] == k + 1 for k in range(0, 60, 3)) > 10
+    assert groups_of(spark, texts) == want
