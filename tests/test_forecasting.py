@@ -229,7 +229,7 @@ def test_boosted_trees(spark, tmp_path):
 
 def test_tree_settings_and_candidates():
     tree = boosted.tree_settings({"learning_rate": 0.1, "n_estimators": 5000, "max_leaves": 64, "reg_alpha": 1, "gamma": 0})
-    assert tree == {"stepSize": 0.1, "maxIter": 200, "minInfoGain": 0.0, "maxDepth": 6}
+    assert tree == {"stepSize": 0.1, "maxIter": 5000, "minInfoGain": 0.0, "maxDepth": 6}
     drawn = boosted.sample_candidates(30, 5)
     assert drawn == boosted.sample_candidates(30, 5)
     assert all(("max_depth" in c) != ("max_leaves" in c) for c in drawn)
