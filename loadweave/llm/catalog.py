@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loadweave.llm import chunking, extraction, packing, pieces, quality, search, sharding, simhash, suffixes, toxicity
+from loadweave.llm import (
+    chunking, extraction, packing, pieces, quality, resampling, search, sharding, simhash, suffixes, toxicity,
+)
 from loadweave.llm.common import prepared, table, text_or_empty
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -158,3 +160,62 @@ FROM s QUALIFY rank <= 5
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best matches of every vector whose id is divisible by 50."""
     return search.top_k(search.whole_vectors(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 50 == 0, k=5)
+
+
+_RESAMPLE_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w, row_number() OVER () AS k, TRUE AS is_doc FROM documents
+  UNION ALL
+  SELECT NULL, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), row_number() OVER (), FALSE FROM benchmark),
+runs AS (
+  SELECT k, is_doc, array_to_string(w[i:i + n], ' ') AS f
+  FROM (SELECT k, is_doc, w, n, unnest(range(1, len(w) - n + 1)) AS i FROM w, (SELECT unnest([0, 1, 2]) AS n) WHERE len(w) > n)),
+uses AS (SELECT k, is_doc, f, count(*) AS c FROM runs GROUP BY ALL),
+texts AS (SELECT f, hex(encode(f)) AS h, octet_length(encode(f)) AS len FROM (SELECT DISTINCT f FROM uses)),
+byte AS (
+  SELECT b, list_reduce([b] || range(8), lambda x, y: xor(x // 2, (x % 2) * 3988292384)) AS v
+  FROM (SELECT unnest(range(256)) AS b)),
+step AS (SELECT list(v ORDER BY b) AS t FROM byte),
+place AS (
+  SELECT 0 AS d, b, v FROM byte
+  UNION ALL
+  SELECT d + 1, b, xor(v // 256, t[v % 256 + 1]) FROM place, step WHERE d + 1 < (SELECT max(len) FROM texts)),
+zero AS (
+  SELECT 0 AS n, 4294967295::BIGINT AS v
+  UNION ALL
+  SELECT n + 1, xor(v // 256, t[v % 256 + 1]) FROM zero, step WHERE n < (SELECT max(len) FROM texts)),
+bytes AS (
+  SELECT f, len - i AS d, 16 * (strpos('0123456789ABCDEF', substr(h, 2 * i - 1, 1)) - 1) + strpos('0123456789ABCDEF', substr(h, 2 * i, 1)) - 1 AS b
+  FROM (SELECT f, h, len, unnest(range(1, len + 1)) AS i FROM texts)),
+sums AS (SELECT f, bit_xor(v) AS x FROM bytes JOIN place USING (d, b) GROUP BY f),
+bucket AS (
+  SELECT f, xor(xor(x, zero.v), 4294967295) % 10000 AS bucket
+  FROM sums JOIN texts USING (f) JOIN zero ON zero.n = texts.len),
+counts AS (
+  SELECT bucket, coalesce(sum(c) FILTER (is_doc), 0) AS s, coalesce(sum(c) FILTER (NOT is_doc), 0) AS t
+  FROM uses JOIN bucket USING (f) GROUP BY bucket),
+total AS (SELECT coalesce(sum(s), 0) AS s_all, coalesce(sum(t), 0) AS t_all FROM counts),
+gain AS (
+  SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (s_all + 10000) / ((s + 1)::DOUBLE * (t_all + 10000))))::BIGINT AS gain
+  FROM counts, total),
+weight AS (
+  SELECT k, sum(c)::BIGINT AS n_features, sum(c * gain)::BIGINT AS weight
+  FROM uses JOIN bucket USING (f) JOIN gain USING (bucket) WHERE is_doc GROUP BY k),
+scored AS (
+  SELECT doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('42:' || doc_id)[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM w LEFT JOIN weight USING (k) WHERE is_doc),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS r FROM scored)
+SELECT doc_id, n_features, weight, score,
+       CASE WHEN n_words >= 20 AND r <= (SELECT 5 * count(*) // 100 FROM scored WHERE n_words >= 20) THEN r END AS rank
+FROM ranked
+"""
+
+
+@query("op12_crc_resampling", _RESAMPLE_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, score and rank of every document in a draw of 5 in 100 towards the benchmark's distribution."""
+    rows = resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return rows.select("doc_id", "n_features", "weight", "score", "rank")
