@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loadweave.llm import (
-    chunking, extraction, packing, pieces, quality, resampling, search, sharding, simhash, suffixes, toxicity,
+    alignment, chunking, extraction, packing, pieces, quality, resampling, search, sharding, simhash, suffixes, toxicity,
 )
 from loadweave.llm.common import prepared, table, text_or_empty
 
@@ -219,3 +219,10 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weight, score and rank of every document in a draw of 5 in 100 towards the benchmark's distribution."""
     rows = resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return rows.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query("op13_pair_bitmaps")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the tokens of two vocabularies line up in every document, and in how many documents its links occur."""
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.aligned(table(spark, sf_dir, "documents"), *paths)
