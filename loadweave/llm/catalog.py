@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loadweave.llm import (
-    alignment, chunking, extraction, packing, pieces, quality, resampling, search, sharding, simhash, suffixes, toxicity,
+    alignment, chunking, extraction, neighbours, packing, pieces, quality, resampling, search, sharding, simhash, suffixes, toxicity,
 )
 from loadweave.llm.common import prepared, table, text_or_empty
 
@@ -226,3 +226,9 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How the tokens of two vocabularies line up in every document, and in how many documents its links occur."""
     paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
     return alignment.aligned(table(spark, sf_dir, "documents"), *paths)
+
+
+@query("op11_balanced_postings")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest found of every vector whose id is divisible by 100."""
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
