@@ -9,6 +9,8 @@ from loadweave.catalog.fixtures import (
 )
 from loadweave.catalog.registry import query, r, rounded
 from loadweave.operators import profile as P
+from loadweave.operators.quantiles import exact_quantiles
+from loadweave.operators.ranking import with_row_number, with_running_total
 
 _LINE_COLUMNS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount",
                  "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
@@ -341,3 +343,26 @@ def prof_steps(spark, sf):
 @query("prof_span", f"SELECT id, min(ts) AS first, max(ts) AS last, count(*) AS n FROM ({SUPP_SQL}) GROUP BY 1")
 def prof_span(spark, sf):
     return P.span(daily_supp(spark, sf), ["id"], "ts")
+
+
+_NARROW_SQL = "SELECT l_linestatus, 230 + floor(l_extendedprice) / 1e6 AS v FROM lineitem"
+
+
+@query("quant_narrow", f"""
+SELECT l_linestatus, {r('quantile_cont(v, 0.001)', 9)} AS p001, {r('quantile_cont(v, 0.25)', 9)} AS p25, {r('quantile_cont(v, 0.5)', 9)} AS p50,
+       {r('quantile_cont(v, 0.999)', 9)} AS p999 FROM ({_NARROW_SQL}) GROUP BY 1""")
+def quant_narrow(spark, sf):
+    """Exact quantiles of values that all lie in a tenth of a unit."""
+    lines = table(spark, sf, "lineitem").select("l_linestatus", (230 + F.floor("l_extendedprice") / 1e6).alias("v"))
+    return rounded(exact_quantiles(lines, ["l_linestatus"], "v", {"p001": 0.001, "p25": 0.25, "p50": 0.5, "p999": 0.999}), 9)
+
+
+@query("rank_rows", """
+SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey DESC) - 1 AS pos,
+       sum(o_custkey) OVER (ORDER BY o_orderdate, o_orderkey DESC ROWS UNBOUNDED PRECEDING)::BIGINT AS customers FROM orders""")
+def rank_rows(spark, sf):
+    """Position and running total of every order by date, over the whole table."""
+    order = [F.col("o_orderdate"), F.col("o_orderkey").desc()]
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderdate", "o_custkey")
+    numbered = with_row_number(orders, order, "pos")
+    return with_running_total(numbered, order, "o_custkey", "customers").select("o_orderkey", "pos", "customers")

@@ -1,12 +1,9 @@
-"""Safe numeric columns: ratios, logs, scaling, monotone bins."""
+"""Safe numeric columns: ratios, logs, scaling, keys of the same order."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# ln(1 + largest double) is about 709.8; clamping keeps infinities in the last bin.
-_LOG_CEILING = 710.0
-
 
 def safe_ratio(top: Column, bottom: Column) -> Column:
     """Division that yields null instead of an error or an infinity."""
@@ -36,12 +33,22 @@ def destandardise(value: Column, mean: Column, std: Column) -> Column:
     return value * F.coalesce(F.nullif(finite(std), F.lit(0.0)), F.lit(1.0)) + mean
 
 
-def value_bin(value: Column, bins_per_unit: int = 256) -> Column:
-    """Monotone integer bin of a double, at most 181,760 per sign.
+def order_key(value: Column) -> Column:
+    """Whole number of 64 bits that orders as the double does; equal doubles, and both zeros, have equal keys.
 
-    Needs no pass over the data to learn a range: the bin is the floor of a
-    scaled log of the magnitude, so equal values share a bin and a larger value
-    never lands in a smaller bin.
+    The number is the IEEE 754 pattern of the magnitude, negated below zero,
+    put together from exponent and fraction: scaling by a power of two is exact,
+    so no bit is lost. NaN and null give null.
     """
-    magnitude = F.least(F.log1p(F.abs(value)), F.lit(_LOG_CEILING))
-    return (F.signum(value) * F.floor(magnitude * bins_per_unit)).cast("int")
+    size = F.abs(value)
+    least = F.lit(2.0**-1022)  # below, numbers share the smallest exponent
+    guess = F.floor(F.log2(F.greatest(F.least(size, F.lit(1.7976931348623157e308)), least)))
+    guess = F.least(F.greatest(guess, F.lit(-1022)), F.lit(1023)).cast("int")
+    scaled = F.when(guess < 0, size * F.pow(F.lit(2.0), -guess)).otherwise(size / F.pow(F.lit(2.0), guess))
+    over, under = scaled >= 2, (scaled < 1) & (guess > -1022)  # the logarithm was rounded across a power of two
+    exponent = guess + F.when(over, 1).when(under, -1).otherwise(0)
+    fraction = F.when(over, scaled / 2).when(under, scaled * 2).otherwise(scaled) - 1
+    unit = 1 << 52
+    bits = (exponent + 1023).cast("long") * F.lit(unit) + (fraction * float(unit)).cast("long")
+    bits = F.when(size == float("inf"), F.lit(2047 * unit)).otherwise(bits)
+    return F.when(value.isNotNull() & ~F.isnan(value), F.when(value < 0, -bits).otherwise(bits))

@@ -1,16 +1,21 @@
-"""Exact quantiles without holding a group in memory.
+"""Exact quantiles by radix selection, without holding a group in memory.
 
 ``percentile`` keeps every distinct value of a group in one task. A meter that
-owns a third of the table would not fit, so the value is found in two steps:
-
-1. count rows per (group, monotone value bin); only counts are shuffled, and the
-   running total over a group's bins names the bins that hold the wanted ranks;
-2. keep the rows of those bins, count per distinct value, and read the value at
-   each rank from a running total inside the bin.
-
-Both steps combine before the shuffle and a hot group is spread over its bins.
-The result equals linear interpolation between the two neighbouring order
-statistics, which is also what pandas computes.
+owns a third of the table would not fit. Here doubles become 64-bit keys of the
+same order, and the wanted ranks of all groups are narrowed down together:
+
+1. count rows per (group, leading 20 bits of the key); only counts are shuffled,
+   and the running total over a group's prefixes names those that hold a rank;
+2. where such a prefix holds more than ``SMALL`` rows of different values, count
+   its rows by eight more bits, and so on, at most to the last bit;
+3. a prefix of one value, however many rows share it, is settled by its count;
+   from the others at most ``SMALL`` rows each are looked at.
+
+Every step combines before the shuffle, so neither a hot group nor a narrow
+range of values fills a task. Each narrowing is one job over the input: few
+values need the first only, most data two, and a column that hardly varies one
+more per eight bits. The result equals linear interpolation between the two
+neighbouring order statistics, which is also what pandas computes.
 """
 
 from __future__ import annotations
@@ -20,7 +25,12 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from loadweave.functions.numeric import value_bin
+from loadweave.functions.numeric import order_key
+from loadweave.session import ensure_checkpoint_dir
+
+SMALL = 4096  # rows of a prefix that are looked at one by one
+FIRST_BITS, NEXT_BITS = 20, 8
+BROADCAST_ROWS = 100_000  # most prefixes that are sent to all executors
 
 
 def _ranks(n: Column, q: float) -> tuple[Column, Column, Column]:
@@ -29,70 +39,93 @@ def _ranks(n: Column, q: float) -> tuple[Column, Column, Column]:
     return exact, low, F.ceil(exact)
 
 
-def exact_quantiles(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    probs: Mapping[str, float],
-    bins_per_unit: int = 256,
-    small_groups: bool = False,
-) -> DataFrame:
+def _holds(rank: Column) -> Column:
+    return (rank >= F.col("_before")) & (rank < F.col("_before") + F.col("_c"))
+
+
+def _counted(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+    return rows.groupBy(*by).agg(
+        F.count("*").alias("_c"), F.min("_k").alias("_lo"), F.max("_k").alias("_hi"), F.min("_v").alias("_value"))
+
+
+def _running(within: Sequence[str]) -> Column:
+    """Rows of the prefixes before this one; a group has at most one row per prefix, a prefix at most 256 children."""
+    order = Window.partitionBy(*(list(within) or [F.lit(1)])).orderBy("_prefix")
+    return F.sum("_c").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_c")
+
+
+def _near(rows: DataFrame, prefixes: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """Rows below the given prefixes; few prefixes, counted before, are broadcast."""
+    return rows.join(F.broadcast(prefixes) if n <= BROADCAST_ROWS else prefixes, keys)
+
+
+def _narrowed(rows: DataFrame, keys: list[str], probs: Mapping[str, float]) -> tuple[DataFrame, list[tuple[int, int]]]:
+    """The prefixes that hold a wanted rank, each of one value or few rows, and (bits left, how many) of the latter."""
+    def wanted() -> Column:
+        tests = [_holds(rank) for q in probs.values() for rank in _ranks(F.col("_n"), q)[1:]]
+        return reduce(lambda a, b: a | b, tests)
+
+    left = 64 - FIRST_BITS
+    first = _counted(rows.withColumn("_prefix", F.shiftright("_k", left)), [*keys, "_prefix"])
+    group = Window.partitionBy(*(keys or [F.lit(1)]))
+    found = first.withColumn("_n", F.sum("_c").over(group)).withColumn("_before", _running(keys)).where(wanted())
+    found = found.withColumn("_left", F.lit(left)).checkpoint()
+    settled, few = [], []
+    several = F.col("_lo") < F.col("_hi")
+    while True:
+        large = several & (F.col("_c") > SMALL)
+        n_large, n_few = found.agg(F.count_if(large), F.count_if(several & ~large)).first()
+        settled.append(found.where(~large))
+        if n_few:
+            few.append((left, n_few))
+        if not n_large:
+            return reduce(DataFrame.unionByName, settled), few
+        parents = found.where(large).select(*keys, F.col("_prefix").alias("_parent"), "_n", F.col("_before").alias("_start"))
+        step = min(NEXT_BITS, left)
+        below = _near(rows.withColumn("_parent", F.shiftright("_k", left)), parents, [*keys, "_parent"], n_large)
+        left -= step
+        by = [*keys, "_parent", "_n", "_start", "_prefix"]
+        children = _counted(below.withColumn("_prefix", F.shiftright("_k", left)), by)
+        placed = children.withColumn("_before", F.col("_start") + _running([*keys, "_parent"]))
+        found = placed.where(wanted()).drop("_parent", "_start").withColumn("_left", F.lit(left)).checkpoint()
+
+
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:
     """One row per group with the requested quantiles of ``value``.
 
     Rows with a null key or a null/NaN value are left out, as a group-by in
-    pandas leaves them out. With many small groups the bins hardly reduce the
-    data; ``small_groups`` then counts per distinct value once, right after the
-    scan, and both steps share that table instead of reading the input twice.
+    pandas leaves them out. The narrowing runs when this is called.
     """
     keys = list(keys)
+    ensure_checkpoint_dir(df.sparkSession)
     v = F.col("_v")
     rows = (
         df.select(*keys, F.col(value).cast("double").alias("_v"))
         .where(v.isNotNull() & ~F.isnan(v))
         .na.drop(subset=keys)
+        .withColumn("_k", order_key(v))
     )
-    if small_groups:
-        rows = rows.groupBy(*keys, "_v").agg(F.count("*").alias("_w"))
-    else:
-        rows = rows.withColumn("_w", F.lit(1))
-    rows = rows.withColumn("_bin", value_bin(v, bins_per_unit))
-
-    group = Window.partitionBy(*keys)
-    running = group.orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    bins = (
-        rows.groupBy(*keys, "_bin")
-        .agg(F.sum("_w").alias("_c"))
-        .withColumn("_through", F.sum("_c").over(running))
-        .withColumn("_n", F.sum("_c").over(group))
-        .withColumn("_before", F.col("_through") - F.col("_c"))
-    )
-
-    def holds(rank: Column, start: str, end: str) -> Column:
-        return (rank >= F.col(start)) & (rank < F.col(end))
-
-    wanted = []
-    for q in probs.values():
-        _, low, high = _ranks(F.col("_n"), q)
-        wanted += [holds(low, "_before", "_through"), holds(high, "_before", "_through")]
-    targets = bins.where(reduce(lambda a, b: a | b, wanted)).select(*keys, "_bin", "_n", "_before")
-
-    in_bin = Window.partitionBy(*keys, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    values = (
-        rows.join(targets, [*keys, "_bin"])
-        .groupBy(*keys, "_bin", "_n", "_before", "_v")
-        .agg(F.sum("_w").alias("_c"))
-        .withColumn("_end", F.col("_before") + F.sum("_c").over(in_bin))
-        .withColumn("_start", F.col("_end") - F.col("_c"))
-    )
+    prefixes, few = _narrowed(rows, keys, probs)
+    one = prefixes.where(F.col("_lo") == F.col("_hi"))
+    values = [one.select(*keys, "_n", "_before", "_c", "_value")]
+    inside = Window.partitionBy(*keys, "_prefix").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    for left, n in few:
+        here = prefixes.where((F.col("_left") == left) & (F.col("_lo") < F.col("_hi"))).select(
+            *keys, "_prefix", "_n", F.col("_before").alias("_start"))
+        counted = _near(rows.withColumn("_prefix", F.shiftright("_k", left)), here, [*keys, "_prefix"], n).groupBy(
+            *keys, "_prefix", "_n", "_start", "_v").agg(F.count("*").alias("_c"))
+        before = F.col("_start") + F.sum("_c").over(inside) - F.col("_c")  # at most SMALL values of a prefix
+        values.append(counted.select(*keys, "_n", before.alias("_before"), "_c", F.col("_v").alias("_value")))
 
     out = []
     for name, q in probs.items():
         exact, low, high = _ranks(F.col("_n"), q)
-        low_value = F.max(F.when(holds(low, "_start", "_end"), v))
-        high_value = F.max(F.when(holds(high, "_start", "_end"), v))
+        low_value = F.max(F.when(_holds(low), F.col("_value")))
+        high_value = F.max(F.when(_holds(high), F.col("_value")))
         share = F.max(exact - low)
-        out.append((low_value + (high_value - low_value) * share).alias(name))
-    return values.groupBy(*keys).agg(*out)
+        between = low_value + (high_value - low_value) * share
+        out.append(F.when((low_value == high_value) | (share == 0), low_value).otherwise(between).alias(name))
+    return reduce(DataFrame.unionByName, values).groupBy(*keys).agg(*out)
 
 
 def clip_to_quantiles(

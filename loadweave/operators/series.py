@@ -24,8 +24,8 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
-from loadweave.functions.numeric import value_bin
 from loadweave.functions.timeparts import slot
+from loadweave.operators.ranking import with_row_number
 
 BuildColumns = Callable[[WindowSpec], dict[str, Column]]
 
@@ -213,29 +213,24 @@ def dense_ranks(df: DataFrame, ranks: dict[str, str], decimals: int = 6) -> Data
     """Descending dense rank over all rows, without one global sort task.
 
     ``ranks`` maps a value column to its rank column. Values are compared at
-    ``decimals`` places. Rows are ranked inside their value bin; the number of
-    distinct values in larger bins, a table of bins only, is added.
+    ``decimals`` places: the distinct ones are numbered over the whole table and
+    each row takes the number of its value. Rows without a value get no rank.
     """
     out = df
     for value, name in ranks.items():
-        v = F.round(F.col(value), decimals)
-        binned = out.withColumn("_rv", v).withColumn("_bin", value_bin(F.col("_rv")))
-        larger = Window.orderBy(F.col("_bin").desc()).rowsBetween(Window.unboundedPreceding, -1)
-        base = (
-            binned.where(F.col("_rv").isNotNull())
-            .groupBy("_bin")
-            .agg(F.count_distinct("_rv").alias("_d"))
-            .select("_bin", F.coalesce(F.sum("_d").over(larger), F.lit(0)).alias("_base"))
-        )
-        inside = Window.partitionBy("_bin").orderBy(F.col("_rv").desc())
-        out = (
-            binned.join(base, "_bin", "left")
-            .withColumn(name, (F.col("_base") + F.dense_rank().over(inside)).cast("int"))
-            .drop("_rv", "_bin", "_base")
-        )
+        rounded = out.withColumn("_rv", F.round(F.col(value), decimals))
+        distinct = rounded.where(F.col("_rv").isNotNull()).select("_rv").distinct()
+        numbered = with_row_number(distinct, [F.col("_rv").desc()], "_rank")
+        out = rounded.join(numbered, "_rv", "left").withColumn(name, (F.col("_rank") + 1).cast("int")).drop("_rv", "_rank")
     return out
 
 
+def readings_and_ahead(df: DataFrame, keys: Sequence[str] = ("id",), ts: str = "ts", y: str = "y") -> DataFrame:
+    """Rows with a value, and those after a series' last one, which are to be forecast."""
+    last = df.where(F.col(y).isNotNull()).groupBy(*keys).agg(F.max(ts).alias("_last"))
+    return same_bucket(df, last, keys).where(F.col(y).isNotNull() | (F.col(ts) > F.col("_last"))).drop("_last")
+
+
 def tail_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
     """Last ``n`` rows of every series."""
     latest = Window.partitionBy(*(list(keys) or [F.lit(1)])).orderBy(*[F.col(c).desc() for c in order])

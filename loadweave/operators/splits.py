@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from loadweave.functions.timeparts import NTZ
-from loadweave.operators.series import tail_rows, with_position
+from loadweave.operators.ranking import with_row_number
+from loadweave.operators.series import tail_rows
 
 SPLITS = ("train", "val", "test")
 
@@ -54,13 +55,12 @@ def fold_bounds(
 def fold_table(
     df: DataFrame, horizon: int, gap: int, folds: int, ts: str = "ts", min_points: int | None = None
 ) -> DataFrame:
-    """Time limits of each fold. Positions count distinct timestamps, so the
-    only ordered table is the calendar of slots."""
-    times = df.select(ts).distinct()
-    bounds = fold_bounds(times.count(), horizon, gap, folds, min_points)
+    """Time limits of each fold. Positions count distinct timestamps, numbered
+    over the whole calendar of slots."""
+    ranked = with_row_number(df.select(ts).distinct(), [ts], "_p")
+    bounds = fold_bounds(ranked.count(), horizon, gap, folds, min_points)
     if not bounds:
         raise ValueError("Too little history for a single fold.")
-    ranked = times.withColumn("_p", F.row_number().over(Window.orderBy(ts)) - 1)
     spec = df.sparkSession.createDataFrame(
         [(i, *b) for i, b in enumerate(bounds)], "fold int, train_end int, val_start int, val_end int"
     )
@@ -99,36 +99,23 @@ def assign_folds_by_row(
     id_col: str = "id",
     ts: str = "ts",
     min_points: int | None = None,
-    grain: str = "month",
-    prefix: int = 6,
 ) -> DataFrame:
     """Folds cut over row positions of the panel sorted by (meter, time).
 
-    The global position is the meter's offset plus the row's position inside
-    the meter. Offsets come from one count per meter, added up first inside and
-    then across leading characters of the id.
+    The rows are written down once in that order; a row's position is its place
+    in its range plus the rows of the ranges before.
     """
-    df = df.na.drop(subset=[id_col, ts])  # only dated rows of a meter have a place in the sorted panel
-    placed = with_position(df, [id_col], [ts], grain).drop("_bucket")
-    meters = df.groupBy(id_col).agg(F.count("*").alias("_c")).withColumn("_head", F.substring(id_col, 1, prefix))
-    before = Window.unboundedPreceding, -1
-    heads = meters.groupBy("_head").agg(F.sum("_c").alias("_h")).select(
-        "_head", F.coalesce(F.sum("_h").over(Window.orderBy("_head").rowsBetween(*before)), F.lit(0)).alias("_ho")
-    )
-    inside = Window.partitionBy("_head").orderBy(id_col).rowsBetween(*before)
-    offsets = meters.join(heads, "_head").select(
-        id_col, (F.col("_ho") + F.coalesce(F.sum("_c").over(inside), F.lit(0))).alias("_o")
-    )
-    bounds = fold_bounds(df.count(), horizon, gap, folds, min_points)
-    pos = F.col("_o") + F.col("_pos")
+    dated = df.na.drop(subset=[id_col, ts])  # only dated rows of a meter have a place in the sorted panel
+    placed = with_row_number(dated, [id_col, ts], "_pos")
+    bounds = fold_bounds(placed.count(), horizon, gap, folds, min_points)
+    pos = F.col("_pos")
     tags = F.array(*[
         F.when(pos < train_end, F.struct(F.lit(i).alias("fold"), F.lit("train").alias("part")))
         .when((pos >= start) & (pos < end), F.struct(F.lit(i).alias("fold"), F.lit("val").alias("part")))
         for i, (train_end, start, end) in enumerate(bounds)
     ])
     return (
-        placed.join(offsets, id_col)
-        .withColumn("_tag", F.explode(F.filter(tags, lambda t: t.isNotNull())))
+        placed.withColumn("_tag", F.explode(F.filter(tags, lambda t: t.isNotNull())))
         .select(*df.columns, pos.alias("pos"), "_tag.fold", "_tag.part")
     )
 

@@ -84,13 +84,15 @@ def sequences(
     ts: str = "ts",
     z: str = "z",
     grain: str | None = None,
+    keep_missing: bool = False,
 ) -> DataFrame:
     """The previous ``window`` values as an array, for rows that have them all.
 
     Computed on the whole series, so the first rows of a later split borrow
-    their context from the earlier one.
+    their context from the earlier one. Rows without a value are left out before;
+    with ``keep_missing`` they get a context too, and count as a gap in others'.
     """
-    present = df.where(F.col(z).isNotNull())
+    present = df if keep_missing else df.where(F.col(z).isNotNull())
 
     def build(w: WindowSpec) -> dict[str, Column]:
         return {"seq": F.collect_list(z).over(w.rowsBetween(-window, -1))}

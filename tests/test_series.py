@@ -147,7 +147,7 @@ def test_too_little_history_for_folds_raises(spark):
 
 def test_row_folds_follow_the_sorted_panel(spark):
     pdf = hot_panel(300)
-    got = splits.assign_folds_by_row(frame(spark, pdf), 40, 5, 2, prefix=1).toPandas()
+    got = splits.assign_folds_by_row(frame(spark, pdf), 40, 5, 2).toPandas()
     order = pdf.sort_values(["id", "ts"]).reset_index(drop=True).reset_index().rename(columns={"index": "want"})
     merged = got.merge(order, on=["id", "ts"])
     assert (merged["pos"] == merged["want"]).all()
