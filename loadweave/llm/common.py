@@ -38,3 +38,11 @@ def text_or_empty(column: str = "text") -> Column:
 
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def free_name(taken: list[str], wanted: str) -> str:
+    """A column name that the table does not have; names are compared without case."""
+    lowered = {name.lower() for name in taken}
+    while wanted.lower() in lowered:
+        wanted += "_"
+    return wanted

@@ -12,17 +12,6 @@ walked by Spark: a subtree meets the subtrees whose prefix differs in at most
 walks the two tries together, depth first in blocks, so memory is bounded. The
 group returns a spanning forest of the links it found, not all pairs.
 
-`clustered` links fingerprints as such. `near_duplicates` looks for texts whose
-sets of five-word shingles have a Jaccard similarity of 0.8 or more, which
-leaves more than three bits of a shingle fingerprint different. The trie join
-over fingerprints of the set of single words gives the first links; an exact
-join gives the rest. Two sets of that similarity share one of the first 20% of
-their shingles in any common order (prefix filter), and the order here puts
-common shingles last. Sets that share such a shingle are compared exactly, but
-for pairs that verified links already connect, so no pair is missed. Sets and
-shingles are named by 64-bit hashes, and the shingles of two texts compared by
-32 bits; equal names are taken as equal.
-
 Null and empty texts have fingerprint zero and are linked like any other.
 Equal fingerprints are one trie leaf however many documents carry them. The
 depth of the top levels follows the number of distinct fingerprints.
@@ -44,10 +33,6 @@ from loadweave.llm.components import components
 
 LEAVES = 4096  # fingerprints of a subtree, on average
 BLOCK = 1 << 21  # node pairs expanded at once
-SAMPLE = 4_000  # rows looked at for common shingles
-COMMON = 1 << 16  # common shingles told apart at most; the others are ordered by hash
-FEW = 64  # members of a shingle compared pair by pair; more are compared in blocks
-BLOCK_SETS = 256  # sets of a block, on average
 
 
 def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
@@ -184,210 +169,46 @@ def _links_of_pair(depth: int, budget: int):
     return run
 
 
-def clustered(docs: DataFrame, budget: int = 3, width: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id): the smallest id reachable over links of at most `budget` bits."""
-    prints = stored(fingerprints(docs, doc_id, text, width), "fingerprints")
+def classes_of(prints: DataFrame, budget: int = 3) -> DataFrame:
+    """(fp, root, component_id) of every fingerprint in (doc_id, fp): its group and the smallest id in it."""
     values = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "values")
     roots = components(near_links(values.select("fp"), budget))
     named = values.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root"))
     smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = stored(named.join(smallest, "root").select("fp", "component_id"), "classes")
-    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
-
-
-def word_hashes(text: str | None) -> np.ndarray:
-    return np.array([xxhash.xxh3_64_intdigest(w) for w in (text or "").encode().lower().split()], dtype=np.uint64)
-
-
-def word_fingerprint(words: np.ndarray) -> int:
-    """Fingerprint over the set of words, given by their hashes."""
-    words = np.unique(words)
-    bits = np.unpackbits(words.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    return int(np.packbits(2 * bits.sum(0, dtype=np.int64) > len(words), bitorder="little").view("<i8")[0])
-
-
-def shingle_set(words: np.ndarray, width: int) -> np.ndarray:
-    """Sorted hashes of the distinct shingles; fewer words are one shingle, no word none."""
-    if not len(words):
-        return np.zeros(0, np.int64)
-    width = min(width, len(words))
-    h = np.full(len(words) - width + 1, width, np.uint64)
-    for k in range(width):
-        h = (h ^ words[k : k + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-    return np.unique(h.view(np.int64))
-
-
-def _node(shingles: np.ndarray) -> int:
-    return int(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes())).view(np.int64))
-
-
-def _common_shingles(rows: DataFrame, width: int, n: int) -> np.ndarray:
-    """The shingles met most often in a sample of rows, rarest first; they only order the prefixes."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sets = [shingle_set(word_hashes(t), width) for pdf in batches for t in pdf["text"]]
-        values, counts = np.unique(np.concatenate([np.zeros(0, np.int64), *sets]), return_counts=True)
-        yield pd.DataFrame({"shingle": values, "n": counts})
-
-    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n // SAMPLE))) == 0).select("text")
-    met = sample.mapInPandas(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where("n > 3")
-    found = [r.shingle for r in met.orderBy(F.desc("n"), "shingle").limit(COMMON).collect()]
-    return np.array(found[::-1], dtype=np.int64)
-
-
-def _prefix(shingles: np.ndarray, common: np.ndarray, rank: np.ndarray, similarity: float) -> np.ndarray:
-    """So many first shingles, common ones last, that two sets of the similarity have one of them in common."""
-    at = np.searchsorted(common, shingles)
-    at[at == len(common)] = 0
-    place = np.where(common[at] == shingles, rank[at], -1) if len(common) else np.zeros(len(shingles))
-    return shingles[np.lexsort((shingles, place))[: len(shingles) - math.ceil(similarity * len(shingles) - 1e-9) + 1]]
-
-
-def _similar_pairs(a: list[np.ndarray], b: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of sets that hold the similarity, by products of 0/1 matrices over slices of the shingles."""
-    both = a + b
-    sizes = np.array([len(s) for s in both])
-    values, column = np.unique(np.concatenate(both), return_inverse=True)
-    row = np.repeat(np.arange(len(both)), sizes)
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    common = np.zeros((len(a), len(b)), np.float32)
-    for start in range(0, len(values), 4096):
-        lo, hi = np.searchsorted(column, [start, start + 4096])
-        has = np.zeros((len(both), 4096), np.float32)
-        has[row[lo:hi], column[lo:hi] - start] = 1
-        common += has[: len(a)] @ has[len(a) :].T
-    union = sizes[: len(a), None] + sizes[None, len(a) :] - common.astype(np.int64)
-    return np.nonzero(common.astype(np.int64) >= similarity * union)
-
-
-def _block_links(similarity: float):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = pdf[pdf["left"]], pdf[~pdf["left"]]
-        if not len(left) or not len(right):
-            return pd.DataFrame({"u": np.zeros(0, np.int64), "v": np.zeros(0, np.int64)})
-        x, y = _similar_pairs([*map(np.asarray, left["shingles"])], [*map(np.asarray, right["shingles"])], similarity)
-        names, at = np.unique(np.r_[left["node"].to_numpy(), right["node"].to_numpy()], return_inverse=True)
-        found = _hook(np.arange(len(names)), at[x], at[len(left) + y])  # verified pairs only
-        u, v = (np.concatenate([np.zeros(0, np.int64), *[pair[k] for pair in found]]) for k in (0, 1))
-        return pd.DataFrame({"u": names[u], "v": names[v]})
-
-    return run
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    sizes = sets.select("node", "size")
-    longest = pairs.join(sizes.toDF("a", "m"), "a").join(sizes.toDF("b", "n"), "b")
-    pairs = longest.where((F.col("m") >= similarity * F.col("n")) & (F.col("n") >= similarity * F.col("m"))).select("a", "b")
-    named = sets.select("node", "shingles")
-    common = F.size(F.array_intersect("x", "y"))
-    return (
-        pairs.join(named.toDF("a", "x"), "a").join(named.toDF("b", "y"), "b")
-        .where(common >= similarity * (F.size("x") + F.size("y") - common)).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    )
+    return stored(named.join(smallest, "root").select("fp", "root", "component_id"), "classes")
 
 
-def _ordered(a: str, b: str) -> list:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+def clustered(docs: DataFrame, budget: int = 3, width: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, fp, component_id): the smallest id reachable over links of at most `budget` bits."""
+    prints = stored(fingerprints(docs, doc_id, text, width), "fingerprints")
+    return prints.join(classes_of(prints, budget), "fp").select("doc_id", "fp", "component_id")
 
 
-def _rest_links(open_: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Links between the members of a shingle that are outside its hub's component and all its members.
+def one_per_group(docs: DataFrame, budget: int = 3, width: int = 3) -> DataFrame:
+    """One document of each group of linked fingerprints: that of the smallest id.
 
-    open_ has (shingle, node, root, main, members, outside): main is the hub's root, the counts are of the shingle.
-    """
-    few = open_.where(F.col("members") <= FEW)
-    mates = few.select("shingle", F.col("node").alias("mate"), F.col("root").alias("mate_root"))
-    pairs = few.where("root <> main").join(mates, "shingle").where("root <> mate_root").select(*_ordered("node", "mate")).distinct()
-    many = open_.where(F.col("members") > FEW)
-    left_blocks, right_blocks = (F.ceil(F.col(c) / BLOCK_SETS).cast("int") for c in ("outside", "members"))
-    own = lambda blocks: F.pmod(F.xxhash64("node"), blocks).cast("int")
-    every = lambda blocks: F.explode(F.sequence(F.lit(0), blocks - 1))
-    left = many.where("root <> main").select("shingle", "node", F.lit(True).alias("left"), own(left_blocks).alias("i"), every(right_blocks).alias("j"))
-    right = many.select("shingle", "node", F.lit(False).alias("left"), every(left_blocks).alias("i"), own(right_blocks).alias("j"))
-    blocks = left.unionByName(right).join(sets.select("node", "shingles"), "node")
-    return _verified(pairs, sets, similarity).unionAll(
-        blocks.groupBy("shingle", "i", "j").applyInPandas(_block_links(similarity), "u long, v long"))
-
-
-def _roots(postings: DataFrame, links: DataFrame) -> DataFrame:
-    roots = components(links)
-    return postings.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-
-
-def similar_links(postings: DataFrame, sets: DataFrame, links: DataFrame, similarity: float) -> DataFrame:
-    """Verified links that connect all sets of the similarity that are connected.
-
-    Each shingle of `postings` first compares its sets with one hub, then with the set that most links met so far;
-    pairs in one component need no further look, all others are compared one by one.
+    If several rows have this id, the one of the smallest fingerprint and text
+    hash; texts under one id that are not linked are documents of their own.
+    Rows without an id cannot be named and stay.
     """
-    # the hub: the smallest node after one of eight ways to turn bits, so that not all shingles choose alike
-    turned = F.col("node").bitwiseXOR(F.xxhash64(F.pmod("shingle", F.lit(8))))
-    hubs = postings.groupBy("shingle").agg(F.min(turned).alias("hub"))
-    hubs = hubs.select("shingle", F.col("hub").bitwiseXOR(F.xxhash64(F.pmod("shingle", F.lit(8)))).alias("hub"))
-    pairs = postings.join(hubs, "shingle").where("node <> hub").select(*_ordered("node", "hub")).distinct()
-    links = stored(links.unionAll(_verified(pairs, sets, similarity)), "links")
-    for last in (False, True):
-        degree = links.select(F.col("u").alias("node")).unionAll(links.select(F.col("v").alias("node"))).groupBy("node").agg(F.count("*").alias("degree"))
-        named = stored(_roots(postings, links).join(degree, "node", "left").fillna(0, ["degree"]), "named")
-        hub = F.max(F.struct("degree", "node", "root")).alias("hub")
-        shared = named.groupBy("shingle").agg(hub, F.count("*").alias("members"), F.min("root").alias("low"), F.max("root").alias("high"))
-        shared = shared.where("members > 2 and low <> high").select("shingle", "hub", "members")
-        open_ = stored(named.join(shared, "shingle").select("shingle", "node", "root", F.col("hub.root").alias("main"), F.col("hub.node").alias("hub"), "members"), "open")
-        if open_.isEmpty():
-            return links
-        if not last:
-            pairs = open_.where("root <> main").select(*_ordered("node", "hub")).distinct()
-            links = stored(links.unionAll(_verified(pairs, sets, similarity)), "links")
-    outside = open_.where("root <> main").groupBy("shingle").agg(F.count("*").alias("outside"))
-    return links.unionAll(stored(_rest_links(open_.join(outside, "shingle"), sets, similarity), "links"))
-
-
-def near_duplicates(docs: DataFrame, similarity: float = 0.8, width: int = 5, budget: int = 3) -> DataFrame:
-    """(doc_id, component_id) of every row with an id: linked by equal shingles or by verified similarity."""
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-
-    common = _common_shingles(rows, width, rows.count())
-    rank = np.argsort(common, kind="stable")
-    common = common[rank]
-
-    def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            hashed = [word_hashes(t) for t in pdf["text"]]
-            sets = [shingle_set(w, width) for w in hashed]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "node": [_node(s) for s in sets], "fp": [word_fingerprint(w) for w in hashed],
-                                "first": [_prefix(s, common, rank, similarity) if len(s) else s for s in sets]})
-
-    def shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            sets = [shingle_set(word_hashes(t), width) for t in pdf["text"]]
-            short = [np.unique(s.astype(np.int32)) for s in sets]  # 32 bits tell the shingles of two texts apart
-            yield pd.DataFrame({"node": [_node(s) for s in sets], "size": [len(s) for s in short], "shingles": short})
-
-    sketches = stored(rows.mapInPandas(sketch, "doc_id long, node long, fp long, first array<long>"), "sketches")
-    nodes = stored(sketches.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("fp").alias("fp")), "nodes")
-    first = sketches.select("node", F.explode("first").alias("shingle"))
-    shared = first.groupBy("shingle").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("shingle")
-    postings = stored(first.join(shared, "shingle").distinct(), "postings")
-    values = stored(nodes.groupBy("fp").agg(F.min("node").alias("least")), "values")
-    near = near_links(values.select("fp"), budget)
-    close = near.join(values.toDF("u", "a"), "u").join(values.toDF("v", "b"), "v").select(*_ordered("a", "b"))
-    close = stored(close.where("a <> b").distinct(), "candidates")
-    needed = postings.select("node").unionAll(close.select("a")).unionAll(close.select("b")).distinct()
-    wanted = rows.join(nodes.join(needed, "node", "left_semi").select("doc_id"), "doc_id", "left_semi").select("text")
-    # a repeated id brings the sets of all its texts, so a set can come twice
-    sets = stored(wanted.mapInPandas(shingles, "node long, size int, shingles array<int>").dropDuplicates(["node"]), "shingles")
-    links = stored(_verified(close, sets, similarity), "links")
-    roots = components(similar_links(postings, sets, links, similarity))
-    named = nodes.select("node", "doc_id").join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
-    smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    classes = stored(named.join(smallest, "root").select("node", "component_id"), "classes")
-    return sketches.join(classes, "node").select("doc_id", "component_id")
-
-
-def one_per_group(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates; rows without an id cannot be named and stay."""
-    keep = near_duplicates(docs, similarity, width).where("doc_id = component_id").select("doc_id").distinct()
-    chosen = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return chosen.unionByName(docs.where("doc_id is null"))
+    names, named = docs.columns, docs.where("doc_id is not null")
+    prints = stored(fingerprints(named, width=width), "fingerprints")
+    grouped = prints.join(classes_of(prints, budget).select("fp", "root"), "fp")
+    heads = stored(grouped.groupBy("root").agg(F.min(F.struct("doc_id", "fp")).alias("head")).select("head.*"), "heads")
+    repeated = prints.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    chosen = named.join(heads.select("doc_id").distinct(), "doc_id", "left_semi")
+
+    @F.pandas_udf("long")
+    def print_of(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint(t, width) for t in texts], dtype=np.uint64).view(np.int64))
+
+    # only rows that share an id are looked at once more; each head among them is one of a few rows or of copies
+    rows = chosen.join(repeated, "doc_id", "left_semi").select(
+        F.struct(*names).alias("_row"), F.col("doc_id").cast("long").alias("_id"), print_of("text").alias("_fp"), "text")
+    order = F.struct(F.sha2(F.coalesce("text", F.lit("")), 256), F.xxhash64("_row"))
+    heads = heads.toDF("_id", "_fp")
+    one = rows.withColumn("_order", order).drop("text").join(heads, ["_id", "_fp"], "left_semi").groupBy("_id", "_fp").agg(
+        F.min_by("_row", "_order").alias("_row")).select("_row.*")
+    single = chosen.join(repeated, "doc_id", "left_anti").select(*names)
+    return single.unionByName(one).unionByName(docs.where("doc_id is null"))

@@ -36,7 +36,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from loadweave.llm.common import shuffle_parts, stored
+from loadweave.llm.common import free_name, shuffle_parts, stored
 
 _CACHE_WORDS = 500_000
 _WORD = re.compile(r"[^ \t-\r]+")
@@ -97,26 +97,35 @@ def _document_rows(core: int, min_words: int):
                 if len(words) >= min_words:
                     keys, at = selected(hashes(words), core, min_words)
                     at = np.unique(at)
-                    out.append((doc, xxhash.xxh3_128_digest(raw), len(words), keys[at].view(np.int64), at.astype(np.int32)))
-            yield pd.DataFrame(out, columns=["doc_id", "digest", "n_words", "keys", "places"])
+                    digest = xxhash.xxh3_128_digest(raw)
+                    out.append((doc, digest, tag_of(digest), len(words), keys[at].view(np.int64), at.astype(np.int32)))
+            yield pd.DataFrame(out, columns=["doc_id", "digest", "tag", "n_words", "keys", "places"])
 
     return run
 
 
+def tag_of(digest: bytes) -> int:
+    """What tells the texts of one id apart."""
+    return int.from_bytes(digest[:8], "little", signed=True)
+
+
 def _suffix_rows(core: int, min_words: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for pdf in batches:
             out = []
-            for doc, text, places in zip(pdf["doc_id"], pdf["text"], pdf["places"]):
-                h = hashes((text or "").encode().split())
+            for doc, text, digest, places in zip(pdf["doc_id"], pdf["text"], pdf["digest"], pdf["places"]):
+                raw = (text or "").encode()
+                if xxhash.xxh3_128_digest(raw) != digest:  # another text under the same id
+                    continue
+                h = hashes(raw.split())
                 keys, at = selected(h, core, min_words)
                 short = (h >> np.uint64(32)).astype(">u4")
                 places = np.unique(places)
                 first, last = np.searchsorted(at, places), np.searchsorted(at, places, "right") - 1
                 for p, a, b in zip(places.tolist(), first.tolist(), last.tolist()):
-                    out.append((int(keys[p].view(np.int64)), short[p + core : b + min_words].tobytes(), short[a:p][::-1].tobytes(), doc, p))
-            yield pd.DataFrame(out, columns=["key", "after", "before", "doc_id", "place"])
+                    out.append((int(keys[p].view(np.int64)), short[p + core : b + min_words].tobytes(), short[a:p][::-1].tobytes(), doc, p, tag_of(digest)))
+            yield pd.DataFrame(out, columns=["key", "after", "before", "doc_id", "place", "tag"])
 
     return run
 
@@ -137,23 +146,23 @@ def _windows(core: int, min_words: int):
     outside = min_words - core
 
     def names(row: tuple, reach: int) -> Iterator[tuple]:
-        key, after, before, doc, place = row
+        key, after, before, doc, place, tag = row
         for left in range(max(outside - len(after) // 4, outside - reach), len(before) // 4 + 1):
             head = struct.pack("<qi", key, left)
-            yield key, xxhash.xxh3_64_intdigest(head + before[: 4 * left] + after[: 4 * (outside - left)]), doc, place - left
+            yield key, xxhash.xxh3_64_intdigest(head + before[: 4 * left] + after[: 4 * (outside - left)]), doc, place - left, tag
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, reach = None, outside  # the row before, and its reach so far: the first row of a task counts in full
         out: list[tuple] = []
 
         def flush() -> pd.DataFrame:
-            pdf = pd.DataFrame(out, columns=["key", "name", "doc_id", "word"])
+            pdf = pd.DataFrame(out, columns=["key", "name", "doc_id", "word", "tag"])
             pdf["name"] = pdf["name"].astype(np.uint64).to_numpy().view(np.int64)
             out.clear()
             return pdf
 
         for pdf in batches:
-            for row in zip(pdf["key"], pdf["after"], pdf["before"], pdf["doc_id"], pdf["place"]):
+            for row in zip(pdf["key"], pdf["after"], pdf["before"], pdf["doc_id"], pdf["place"], pdf["tag"]):
                 if held is not None:
                     same = common_words(held[1], row[1]) if held[0] == row[0] else -1
                     out.extend(names(held, max(reach, same)))
@@ -172,38 +181,45 @@ def repeated_spans(
 ) -> DataFrame:
     """(doc_id, start_word, n_words, first_doc_id) of each span that occurs earlier, words counted from 0.
 
-    `first_doc_id` holds the kept occurrence of the span's first `min_words` words.
+    `first_doc_id` holds the kept occurrence of the span's first `min_words` words. Texts under one id are
+    documents of their own: spans of each are returned, and the same text twice under one id is no repeat.
     """
+    return spans_by_text(docs, min_words, core, doc_id, text).drop("tag")
+
+
+def spans_by_text(docs: DataFrame, min_words: int, core: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The spans with the tag of the text they belong to."""
     rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     per_doc = stored(rows.mapInPandas(
-        _document_rows(core, min_words), "doc_id long, digest binary, n_words int, keys array<long>, places array<int>"), "documents")
+        _document_rows(core, min_words), "doc_id long, digest binary, tag long, n_words int, keys array<long>, places array<int>"), "documents")
 
     firsts = stored(per_doc.groupBy("digest").agg(F.min("doc_id").alias("first_doc_id")), "firsts")
-    copies = per_doc.select("doc_id", "digest", "n_words").join(firsts, "digest").where("doc_id <> first_doc_id").select(
-        "doc_id", F.lit(0).cast("long").alias("start_word"), F.col("n_words").cast("long").alias("n_words"), "first_doc_id").distinct()
+    copies = per_doc.select("doc_id", "digest", "tag", "n_words").join(firsts, "digest").where("doc_id <> first_doc_id").select(
+        "doc_id", F.lit(0).cast("long").alias("start_word"), F.col("n_words").cast("long").alias("n_words"), "first_doc_id", "tag").distinct()
 
-    suffixes = per_doc.select("doc_id", F.explode(F.arrays_zip("keys", "places")).alias("s")).select(
-        F.col("s.keys").alias("key"), "doc_id", F.col("s.places").alias("place"))
+    suffixes = per_doc.select("doc_id", "digest", F.explode(F.arrays_zip("keys", "places")).alias("s")).select(
+        F.col("s.keys").alias("key"), "doc_id", "digest", F.col("s.places").alias("place"))
     shared = stored(suffixes.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared")
-    wanted = suffixes.join(shared, "key", "left_semi").groupBy("doc_id").agg(F.collect_list("place").alias("places"))
-    wanted = stored(wanted.join(firsts.select(F.col("first_doc_id").alias("doc_id")), "doc_id", "left_semi"), "wanted")
+    wanted = suffixes.join(shared, "key", "left_semi").groupBy("doc_id", "digest").agg(F.collect_list("place").alias("places"))
+    own_text = firsts.select(F.col("first_doc_id").alias("doc_id"), "digest")
+    wanted = stored(wanted.join(own_text, ["doc_id", "digest"], "left_semi"), "wanted")
 
     around = rows.join(wanted, "doc_id").mapInPandas(
-        _suffix_rows(core, min_words), "key long, after binary, before binary, doc_id long, place int")
-    order = ["key", "after", "before", "doc_id", "place"]
+        _suffix_rows(core, min_words), "key long, after binary, before binary, doc_id long, place int, tag long")
+    order = ["key", "after", "before", "doc_id", "place", "tag"]
     windows = stored(
         around.repartitionByRange(shuffle_parts(docs.sparkSession), *order).sortWithinPartitions(*order)
-        .mapInPandas(_windows(core, min_words), "key long, name long, doc_id long, word int"), "windows",
+        .mapInPandas(_windows(core, min_words), "key long, name long, doc_id long, word int, tag long"), "windows",
     )
-    own = F.struct("doc_id", "word")
+    own = F.struct("doc_id", "word", "tag")
     kept = stored(windows.groupBy("key", "name").agg(F.min(own).alias("kept"), F.max(own).alias("last")).where("kept <> last").drop("last"), "kept")
     again = windows.join(kept, ["key", "name"]).where(own != F.col("kept")).select(
-        "doc_id", "word", F.col("kept.doc_id").alias("first_doc_id")).distinct()
-    in_doc = W.partitionBy("doc_id").orderBy("word")  # a document's own windows
+        "doc_id", "tag", "word", F.col("kept.doc_id").alias("first_doc_id")).distinct()
+    in_doc = W.partitionBy("doc_id", "tag").orderBy("word")  # a document's own windows
     starts = (F.col("word") - F.lag("word").over(in_doc)) > min_words
     spans = (
         again.withColumn("new", F.coalesce(starts, F.lit(True)).cast("int")).withColumn("span", F.sum("new").over(in_doc))
-        .groupBy("doc_id", "span").agg(
+        .groupBy("doc_id", "tag", "span").agg(
             F.min("word").cast("long").alias("start_word"), (F.max("word") - F.min("word") + min_words).cast("long").alias("n_words"),
             F.min_by("first_doc_id", "word").alias("first_doc_id"),
         ).drop("span")
@@ -230,15 +246,21 @@ def without_repeats(docs: DataFrame, min_words: int = 50, core: int = 20) -> Dat
     A column `n_chars` is brought up to date. Rows without a repeat stay as they are.
     """
     names, schema = docs.columns, docs.schema
-    spans = repeated_spans(docs, min_words, core).groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "n_words")).alias("_spans"))
-    touched = docs.join(spans.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left").drop("_id")
+    own, mine = (free_name(names, n) for n in ("_id", "_spans"))
+    spans = spans_by_text(docs, min_words, core).groupBy(F.col("doc_id").alias(own)).agg(
+        F.collect_list(F.struct("tag", "start_word", "n_words")).alias(mine))
+    touched = docs.join(spans, F.col("doc_id") == F.col(own), "left").drop(own)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            has = pdf["_spans"].notna().to_numpy()
+            has = pdf[mine].notna().to_numpy()
             texts = pdf["text"].astype(object).tolist()
             for k in np.flatnonzero(has):
-                texts[k] = cut_text(texts[k], [(s["start_word"], s["n_words"]) for s in pdf["_spans"].iloc[k]])
+                tag = tag_of(xxhash.xxh3_128_digest((texts[k] or "").encode()))
+                here = [(s["start_word"], s["n_words"]) for s in pdf[mine].iloc[k] if s["tag"] == tag]
+                has[k] = bool(here)
+                if here:
+                    texts[k] = cut_text(texts[k], here)
             pdf["text"] = texts
             gone = np.array([h and not t.strip(" \t\n\v\f\r") for h, t in zip(has, texts)], dtype=bool)
             if "n_chars" in names:

@@ -114,3 +114,19 @@ def test_chunk_spans_equal_brute_force(spark):
     docs = documents(spark, odd_texts(9)).withColumn("digest", F.lit(0)).withColumn("place", F.lit("x"))
     assert {(r.doc_id, r.start, r.n_bytes) for r in chunking.duplicate_spans(docs).collect()} == spans
     assert {2, 3, 9, 15, 16} <= {s[0] for s in spans} and not {1, 8, 10} & {s[0] for s in spans}
+
+
+def test_texts_under_one_id_are_documents_of_their_own(spark):
+    rng = random.Random(31)
+    shared, a, b, c = prose(rng, 80), prose(rng, 60), prose(rng, 30), prose(rng, 70)
+    rows = [(1, shared + " " + a), (1, b + " " + shared), (2, c), (1, c), (3, c + " " + a)]
+    docs = documents(spark, rows).selectExpr("*", "'x' AS _id", "'y' AS _spans")
+    spans = {tuple(r) for r in suffixes.repeated_spans(docs).collect()}
+    assert {(i, n) for i, _, n, _ in spans} == {(1, 80), (2, 70), (3, 130)} or {(i, n) for i, _, n, _ in spans} == {(1, 80), (2, 70), (3, 70), (3, 60)}
+    kept = suffixes.without_repeats(docs)
+    assert kept.columns == docs.columns
+    texts = [w for r in kept.collect() for w in r.text.split()]
+    for passage in (shared, a, b, c):  # every word is left once
+        assert sum(texts.count(w) for w in set(passage.split())) >= len(set(passage.split()))
+    total = sum(len(r.text.split()) for r in kept.collect())
+    assert total == 80 + 60 + 30 + 70

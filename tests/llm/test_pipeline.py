@@ -9,7 +9,7 @@ from loadweave.llm.common import table
 from tests.llm.helpers import documents, empty_documents, odd_texts, prose, words
 from tests.llm.test_passages import repeated_words
 from tests.llm.test_quality import measured_plainly
-from tests.llm.test_simhash import plain_groups
+from tests.llm.test_simhash import plain_classes, plain_fingerprint
 from tests.llm.test_tokens import packed_right
 
 
@@ -57,7 +57,7 @@ def test_stages_equal_brute_force(spark, tmp_path):
     left = [p for p in left if machine.score([terms(p[1])])[0] < 0.7]
     assert pairs(seen["toxicity"]) == order(left)
     assert not [p for p in left if "idiot" in p[1]] and len(left) > 150
-    classes = plain_groups({i: t for i, t in left if i is not None})
+    classes = plain_classes({i: plain_fingerprint(t) for i, t in left if i is not None})
     first: dict = {}
     for i, t in left:
         if i is None or (classes[i] == i and i not in first):
