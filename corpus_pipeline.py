@@ -14,7 +14,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loadweave.llm import packing, quality, simhash, suffixes, toxicity
-from loadweave.llm.common import prepared, stored, table
+from loadweave.llm.common import free_name, prepared, stored, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -27,13 +27,13 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_harmless(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Toxicity: documents with a score of 0.7 or more go."""
     machine = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.scored(docs, machine, column="_toxicity")
-    return scored.where(F.col("_toxicity") < 0.7).drop("_toxicity")
+    score = free_name(docs.columns, "_toxicity")
+    return toxicity.scored(docs, machine, column=score).where(F.col(score) < 0.7).drop(score)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SimHash near-dedup: of each group with a similarity of 0.8 or more in five-word shingles the smallest id stays."""
-    return simhash.one_per_group(docs, similarity=0.8, width=5)
+    """SimHash near-dedup: of each group of three-word fingerprints linked at three or fewer bits the smallest id stays."""
+    return simhash.one_per_group(docs, budget=3, width=3)
 
 
 def keep_passages_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
