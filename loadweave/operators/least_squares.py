@@ -13,6 +13,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 
@@ -27,17 +28,29 @@ def moment_matrix(df: DataFrame, keys: Sequence[str], columns: Sequence[str] | s
     packed = F.col(columns) if isinstance(columns, str) else F.array(*[F.col(c).cast("double") for c in columns])
     fields = [f for f in df.select(*keys).schema] + [T.StructField("part", T.ArrayType(T.DoubleType()))]
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for key, group in batch.groupby(keys, sort=False):
-                x = np.vstack(group["_row"].to_numpy())
-                rows.append((*key, [*(x.T @ x)[np.triu_indices(x.shape[1])], float(len(x))]))
-            yield pd.DataFrame(rows, columns=[*keys, "part"])
+            lists = batch.column(len(keys))
+            if not len(lists):
+                continue
+            x = lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
+            named = pa.Table.from_batches([batch.select(range(len(keys)))]).to_pandas()
+            group = named.groupby(keys, sort=False).ngroup().to_numpy()  # -1 where a key is null
+            order = np.argsort(group, kind="stable")
+            order = order[group[order] >= 0]
+            starts = np.flatnonzero(np.diff(group[order], prepend=-1))
+            cells = np.triu_indices(x.shape[1])
+            sums = np.empty((len(starts), len(cells[0]) + 1))
+            for i, rows in enumerate(np.split(order, starts[1:])):
+                sums[i, :-1], sums[i, -1] = (x[rows].T @ x[rows])[cells], len(rows)
+            offsets = pa.array(np.arange(len(starts) + 1) * sums.shape[1], pa.int32())
+            parts = pa.ListArray.from_arrays(offsets, pa.array(sums.ravel()))
+            firsts = pa.array(order[starts])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(firsts) for k in range(len(keys))), parts], [*keys, "part"])
 
     complete = df.select(*keys, packed.alias("_row")).where(F.forall("_row", lambda v: v.isNotNull() & ~F.isnan(v)))
     cells = (
-        complete.mapInPandas(partial, T.StructType(fields))
+        complete.mapInArrow(partial, T.StructType(fields))
         .select(*keys, F.posexplode("part").alias("cell", "value"))
         .groupBy(*keys, "cell")
         .agg(F.sum("value").alias("value"))
@@ -97,6 +110,60 @@ def solve(gram: np.ndarray, target: int, chosen: Sequence[int], penalty: np.ndar
     return out
 
 
+def sparse_solve(
+    gram: np.ndarray, target: int, ridge: np.ndarray, absolute: np.ndarray, start: np.ndarray | None = None, tol: float = 1e-9
+) -> np.ndarray:
+    """Least squares from a matrix of products with squared and absolute-value penalties.
+
+    Minimises half the squared error plus half of ridge_j b_j^2 plus
+    absolute_j |b_j|, all columns but ``target``. An active set of signed
+    coefficients is solved exactly; on the way to its solution the step stops
+    where a sign would change for the worse, and the inactive column that breaks
+    its optimality condition most comes in next. ``start`` is a solution nearby.
+    """
+    k = target
+    a, b = gram[:k, :k] + np.diag(ridge[:k]), gram[:k, target]
+    cost = absolute[:k]
+    scale = max(float(np.abs(b).max(initial=0.0)), 1e-300)
+    free = cost <= 0
+    beta = np.zeros(k) if start is None else start[:k].copy()
+    sign = np.where(free, 0.0, np.sign(beta))
+    active = free | (sign != 0)
+
+    def loss(x: np.ndarray) -> float:
+        return float(0.5 * x @ a @ x - b @ x + cost @ np.abs(x))
+
+    for _ in range(50 * (k + 1)):
+        on = np.flatnonzero(active)
+        if len(on):
+            wanted = np.zeros(k)
+            wanted[on] = np.linalg.lstsq(a[np.ix_(on, on)], b[on] - (cost * sign)[on], rcond=None)[0]
+            # the best point of the way there: its end, or where a coefficient crosses zero
+            crosses = on[(~free[on]) & (sign[on] * wanted[on] < 0) & (beta[on] != 0)]
+            shares = np.unique(np.append(beta[crosses] / (beta[crosses] - wanted[crosses]), 1.0)) if len(crosses) else np.array([1.0])
+            points = [beta + share * (wanted - beta) for share in shares]
+            for point, share in zip(points, shares):
+                point[[c for c in crosses if abs(beta[c] / (beta[c] - wanted[c]) - share) < 1e-15]] = 0.0
+            beta = min(points, key=loss)
+            sign = np.where(free, 0.0, np.where(beta != 0, np.sign(beta), np.where(active & ~free & (sign * wanted > 0), sign, 0.0)))
+            active = free | (beta != 0)
+        slope = a @ beta - b
+        off = slope + cost * sign
+        if np.abs(off[active]).max(initial=0.0) > tol * scale and len(on):
+            settled = np.abs(off[active]).max() <= 1e-6 * scale and np.allclose(beta, wanted)
+            if not settled:
+                continue
+        rest = np.flatnonzero(~active)
+        excess = np.abs(slope[rest]) - cost[rest]
+        if not len(rest) or excess.max() <= tol * scale:
+            break
+        new = rest[int(np.argmax(excess))]
+        sign[new], active[new] = -np.sign(slope[new]), True
+    out = np.zeros(len(gram))
+    out[:k] = beta
+    return out
+
+
 def dot(coefficients: str, values: Sequence[str] | str) -> Column:
     """Sum of coefficient times value, over columns or one array column."""
     packed = F.col(values) if isinstance(values, str) else F.array(*[F.col(c).cast("double") for c in values])
@@ -126,6 +193,36 @@ def independent_columns(df: DataFrame, columns: Sequence[str], tol: float = 1e-5
     return [varying[i] for i in independent(gram, range(len(varying)), tol**2)]
 
 
+def independent_per_series(df: DataFrame, keys: Sequence[str], columns: Sequence[str], tol: float = 1e-5) -> DataFrame:
+    """(keys, kept): for each series the columns that neither are constant there nor combine earlier ones.
+
+    The same screen as over all rows, from one matrix of products per series,
+    centred by the series' own means. Rows with a missing value are left out;
+    a series without a complete row has no row here.
+    """
+    keys, columns = list(keys), list(columns)
+    complete = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns])
+    for c in columns:
+        complete = complete.where(F.col(c).isNotNull() & ~F.isnan(c))
+    means = complete.groupBy(*keys).agg(F.array(*[F.avg(c) for c in columns]).alias("_means"))
+    centred = complete.join(means, keys).select(*keys, F.zip_with(F.array(*columns), "_means", lambda v, m: v - m).alias("_c"))
+    joined = moment_matrix(centred, keys, "_c").join(means, keys)
+
+    def screen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            kept = []
+            for moments, n, mean in zip(batch["moments"], batch["rows"], batch["_means"]):
+                gram = unpack(moments, len(columns))
+                spread = np.sqrt(np.maximum(np.diag(gram), 0) / n)
+                varying = np.flatnonzero(spread > 1e-12 * np.maximum(1.0, np.abs(mean)))
+                scaled = gram / np.outer(np.where(spread > 0, spread, 1), np.where(spread > 0, spread, 1))
+                kept.append([columns[i] for i in independent(scaled, varying.tolist(), tol**2)])
+            yield batch[keys].assign(kept=kept)
+
+    schema = T.StructType([*joined.select(*keys).schema, T.StructField("kept", T.ArrayType(T.StringType()))])
+    return joined.mapInPandas(screen, schema)
+
+
 def usable_features(df: DataFrame, columns: Sequence[str], tol: float = 1e-5) -> list[str]:
     """Drop non-numeric, constant and collinear feature columns, keeping order.
 

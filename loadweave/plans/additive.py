@@ -1,8 +1,9 @@
 """Additive regression per meter: piecewise-linear trend plus seasonal waves.
 
 The trend may change slope at evenly spaced points in the first part of the
-training history; penalties on slope changes and waves play the part of prior
-scales. All settings share one moment matrix per meter, so the whole grid costs
+training history. Slope changes carry a penalty on their absolute value, so most
+are exactly zero; waves carry a squared one; both play the part of prior scales.
+All settings share one moment matrix per meter, so the whole grid costs
 one pass over the training rows.
 """
 
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from loadweave.functions.metrics import score
 from loadweave.functions.numeric import safe_ratio
 from loadweave.functions.timeparts import epoch_seconds
-from loadweave.operators.least_squares import dot, moment_matrix, solve, unpack
+from loadweave.operators.least_squares import dot, moment_matrix, solve, sparse_solve, unpack
 from loadweave.operators.selection import best_candidate
 
 # Fixed orders and periods (days) of the optional waves.
@@ -40,20 +41,26 @@ def settings(grid: Mapping[str, Sequence[float]]) -> list[Setting]:
     ]
 
 
+def training_spans(df: DataFrame) -> DataFrame:
+    """(id, span_start, span_end): first and last second of a meter's training part."""
+    seconds = epoch_seconds("ts")
+    return df.where("split = 'train'").groupBy("id").agg(F.min(seconds).alias("span_start"), F.max(seconds).alias("span_end"))
+
+
 def design(
     df: DataFrame,
     seasonality: Mapping[str, bool],
     regressors: Sequence[str] = (),
     changepoints: int = 25,
     share: float = 0.8,
+    spans: DataFrame | None = None,
 ) -> tuple[DataFrame, list[str]]:
     """Rows with their regressors in the array ``x``, and the regressors' names.
 
-    Time runs from 0 to 1 over a meter's training part.
+    Time runs from 0 to 1 over a meter's training part, or over stored ``spans``.
     """
-    ends = df.where("split = 'train'").groupBy("id").agg(
-        F.min(epoch_seconds("ts")).alias("_t0"), F.max(epoch_seconds("ts")).alias("_t1")
-    )
+    ends = (training_spans(df) if spans is None else spans).select(
+        "id", F.col("span_start").alias("_t0"), F.col("span_end").alias("_t1"))
     seconds = epoch_seconds("ts")
     t = F.coalesce(safe_ratio(seconds - F.col("_t0"), F.col("_t1") - F.col("_t0")), F.lit(0.0))
     columns: dict[str, Column] = {"one": F.lit(1.0), "trend": F.col("_t")}
@@ -74,6 +81,21 @@ def design(
     return built, list(columns)
 
 
+def noise_of(gram: np.ndarray, k: int, rows: float, level: float) -> float:
+    """Variance of what the regressors leave without penalties, in units of the target."""
+    beta = solve(gram, k, list(range(k)), np.full(k + 1, 1e-8))[:k]
+    left = gram[k, k] - 2 * beta @ gram[:k, k] + beta @ gram[:k, :k] @ beta
+    return max(float(left) / max(rows - k, 1.0) / level, 1e-9)
+
+
+def penalties(s: Setting, hinge: np.ndarray, wave: np.ndarray, noise: float, level: float) -> tuple[np.ndarray, np.ndarray]:
+    """(squared, absolute) penalties: Laplace scales for slope changes, normal ones for waves, both in units of the target."""
+    ridge = np.full(len(hinge), 1e-8 * noise)
+    ridge[wave] = noise / s.seasonality_scale**2
+    absolute = np.where(hinge, noise * np.sqrt(level) / s.changepoint_scale, 0.0)
+    return ridge, absolute
+
+
 def fit_settings(
     rows: DataFrame, columns: Sequence[str], tried: Sequence[Setting], parts: Sequence[str] = ("train",)
 ) -> DataFrame:
@@ -92,12 +114,10 @@ def fit_settings(
                 gram = unpack(row.moments, k + 1)
                 # The scales are relative to the size of the target.
                 level = max(gram[k, k] / max(row.rows, 1.0), 1e-12)
-                for i, s in enumerate(tried):
-                    prior = np.full(k + 1, 1e-8)
-                    prior[:k][hinge] = 1.0 / s.changepoint_scale**2
-                    prior[:k][wave] = 1.0 / s.seasonality_scale**2
-                    noise = (gram[k, k] - gram[0, k] ** 2 / max(row.rows, 1.0)) / max(row.rows, 1.0) / level
-                    beta = solve(gram, k, list(range(k)), prior * max(noise, 1e-9))
+                noise, beta = noise_of(gram, k, row.rows, level), None
+                for i, s in enumerate(tried):  # the solution of one setting is near that of the next
+                    ridge, absolute = penalties(s, hinge, wave, noise, level)
+                    beta = sparse_solve(gram, k, ridge, absolute, beta)
                     out.append((row.id, i, s.changepoint_scale, s.seasonality_scale, beta[:k].tolist()))
             yield pd.DataFrame(out, columns=["id", "candidate", "changepoint_scale", "seasonality_scale", "beta"])
 
