@@ -32,7 +32,7 @@ def _metrics_sql(source: str, by: str, y: str = "y", h: str = "y_hat", nonzero:
     )
 
 
-def _naive_sql(source: str, m: int, markers=DAILY_MARKERS) -> str:
+def naive_sql(source: str, m: int, markers=DAILY_MARKERS) -> str:
     return (
         f"SELECT split, id, ts, y, lag(y, {m}) OVER (PARTITION BY id, split ORDER BY ts) AS y_hat "
         f"FROM ({_tagged_sql(source, markers)})"
@@ -48,13 +48,13 @@ def _whole_flag(spark, sf):
     return splits.add_split(daily_flag(spark, sf), *DAILY_MARKERS, keep_later=True)
 
 
-@query("flagship", _metrics_sql(_naive_sql(FLAG_SQL, 7), "split"))
+@query("flagship", _metrics_sql(naive_sql(FLAG_SQL, 7), "split"))
 def flagship(spark, sf):
     """Lines to daily series, split by time, weekly naive forecast, errors."""
     return rounded(score(B.seasonal_naive_forecast(_tagged_flag(spark, sf), 7), "split"))
 
 
-@query("m_seasonal_naive", _naive_sql(SUPP_SQL, 7))
+@query("m_seasonal_naive", naive_sql(SUPP_SQL, 7))
 def m_seasonal_naive(spark, sf):
     return B.seasonal_naive_forecast(splits.add_split(daily_supp(spark, sf), *DAILY_MARKERS), 7)
 
@@ -78,7 +78,7 @@ def m_seasonal_naive_across(spark, sf):
     return B.seasonal_naive_forecast(tagged, 7, across_splits=True)
 
 
-@query("metrics_all", _metrics_sql(_naive_sql(SUPP_SQL, 7), "split, id"))
+@query("metrics_all", _metrics_sql(naive_sql(SUPP_SQL, 7), "split, id"))
 def metrics_all(spark, sf):
     tagged = splits.add_split(daily_supp(spark, sf), *DAILY_MARKERS)
     return rounded(score(B.seasonal_naive_forecast(tagged, 7), "split", "id"))
@@ -94,7 +94,7 @@ def metrics_zero_actuals(spark, sf):
 
 @query("metrics_rollup", f"""
 SELECT split, {', '.join(f"{r(f'avg({m})')} AS mean_{m}" for m in ('MAE', 'RMSE', 'MAPE', 'sMAPE', 'WAPE'))}, count(*) AS rows
-FROM ({_metrics_sql(_naive_sql(SUPP_SQL, 7), 'split, id', digits=12)}) GROUP BY split""")
+FROM ({_metrics_sql(naive_sql(SUPP_SQL, 7), 'split, id', digits=12)}) GROUP BY split""")
 def metrics_rollup(spark, sf):
     """Mean error over meters, per split."""
     tagged = splits.add_split(daily_supp(spark, sf), *DAILY_MARKERS)
@@ -103,7 +103,7 @@ def metrics_rollup(spark, sf):
 
 @query("align_predictions", f"""
 SELECT a.id, a.ts, a.y, p.y_hat FROM ({SUPP_SQL}) a LEFT JOIN
-(SELECT id, ts, y_hat FROM ({_naive_sql(SUPP_SQL, 7)}) WHERE y_hat IS NOT NULL) p ON a.id = p.id AND a.ts = p.ts""")
+(SELECT id, ts, y_hat FROM ({naive_sql(SUPP_SQL, 7)}) WHERE y_hat IS NOT NULL) p ON a.id = p.id AND a.ts = p.ts""")
 def align_predictions(spark, sf):
     """Stored predictions put back beside the actual values."""
     daily = daily_supp(spark, sf)
@@ -137,9 +137,13 @@ SELECT split, o.id, strftime(o.month, '%Y-%m') AS month, days_observed, total_da
 FROM o JOIN k ON o.id = k.id AND o.month = k.month WHERE days_observed >= {min_days} AND first_day <= month_start"""
 
 
-@query("m_monthly_projection", f"""
+def monthly_sql() -> str:
+    return f"""
 SELECT split, id, month, days_observed, total_days, energy_so_far, {r('projected_total')} AS projected_total, actual_total, observation_end
-FROM ({_projection_sql(FLAG_SQL, 1, 4, 0.95)})""")
+FROM ({_projection_sql(FLAG_SQL, 1, 4, 0.95)})"""
+
+
+@query("m_monthly_projection", monthly_sql())
 def m_monthly_projection(spark, sf):
     return rounded(B.monthly_projection(_whole_flag(spark, sf), min_days=1, max_days=4))
 

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from loadweave.catalog.features import DAILY_FEATURES, HOURLY_FEATURES
 from loadweave.catalog.fixtures import (
-    DAILY_MARKERS, HOURLY_MARKERS, SPECIAL_DAYS, daily_flag, daily_supp, hourly_events, raw_lines, table,
+    DAILY_MARKERS, HOURLY_MARKERS, SPECIAL_DAYS, SUPP_SQL, daily_flag, daily_supp, hourly_events, raw_lines, table,
 )
+from loadweave.catalog.forecasting import monthly_sql, naive_sql
 from loadweave.catalog.registry import query, r, rounded
 from loadweave.operators import features as X, holidays, least_squares, profile, selection, splits
-from loadweave.plans import additive, arima, boosted, live, segments, sequence
+from loadweave.plans import additive, arima, boosted, histogram_trees, jobs, live, segments, sequence
+from loadweave.session import shared_folder
 from loadweave.sources.config import pricing
 from loadweave.streaming import alerts, state
 
@@ -45,6 +49,13 @@ def sarima_summary(spark, sf):
     return arima.batch_summary(arima.train(_daily(spark, sf), _SMALL_GRID))
 
 
+@query("sarima_css")
+def sarima_css(spark, sf):
+    """Per return flag: the chosen order's sum of squares after two stages and after the refinement."""
+    found = arima.train(_daily(spark, sf), _SMALL_GRID, method="css").coefficients
+    return rounded(found.select("id", "candidate", *selection.ORDER_FIELDS, "sse_start", "sse", "invertible"), 3)
+
+
 @query("sarimax_grid")
 def sarimax_grid(spark, sf):
     """Order choice with calendar and wave columns, length-pruned grid."""
@@ -52,7 +63,8 @@ def sarimax_grid(spark, sf):
     rows, columns = X.feature_splits(_daily(spark, sf), cfg, origin="1995-01-01 00:00:00")
     lengths = rows.where("split = 'train'").groupBy("id").agg(F.count("*").alias("n"))
     admitted = selection.candidates_per_series(lengths, _SMALL_GRID)
-    return arima.train(rows, _SMALL_GRID, columns, lengths=admitted).metrics
+    screen = least_squares.independent_per_series(rows.where("split = 'train'"), ["id"], columns).checkpoint()
+    return arima.train(rows, _SMALL_GRID, columns, lengths=admitted, screen=screen).metrics
 
 
 @query("sarima_score")
@@ -79,6 +91,50 @@ def gbt_train(spark, sf):
     return boosted.train(rows, columns, _TREES).metrics
 
 
+#: Every parameter of the second-order booster is set; early stopping decides on the number of trees.
+_SECOND_ORDER = {
+    "learning_rate": 0.2, "n_estimators": 5000, "max_leaves": 24, "min_child_weight": 5.0, "gamma": 0.5, "reg_alpha": 1.0,
+    "reg_lambda": 2.0, "subsample": 0.9, "colsample_bytree": 0.8, "max_bin": 128, "random_state": 42, "early_stopping_rounds": 10,
+}
+
+
+@query("gbt_second_order")
+def gbt_second_order(spark, sf):
+    """Boosted trees from gradient and hessian sums, grown by leaf, with all of their penalties."""
+    panel = holidays.add_holidays(_daily(spark, sf), SPECIAL_DAYS)
+    rows, columns = X.feature_splits(panel, DAILY_FEATURES, origin="1995-01-01 00:00:00")
+    return histogram_trees.train(rows, columns, _SECOND_ORDER).metrics
+
+
+_FIRST_SPLIT_SQL = """
+WITH l AS (SELECT l_quantity AS y, l_discount * 100 AS discount, l_tax * 100 AS tax, year(l_shipdate) + 0.0 AS year FROM lineitem),
+long AS (SELECT 'discount' AS feature, round(discount) AS x, y FROM l UNION ALL SELECT 'tax', round(tax), y FROM l
+         UNION ALL SELECT 'year', year, y FROM l),
+m AS (SELECT avg(l_quantity) AS base FROM lineitem),
+v AS (SELECT feature, x, sum(base - y) AS g, count(*) AS h FROM long, m GROUP BY 1, 2),
+c AS (SELECT feature, x, sum(g) OVER w AS gl, sum(h) OVER w AS hl, sum(g) OVER t AS ga, sum(h) OVER t AS ha FROM v
+      WINDOW w AS (PARTITION BY feature ORDER BY x), t AS (PARTITION BY feature)),
+s AS (SELECT *, greatest(abs(gl) - 0.5, 0) ^ 2 / (hl + 2) + greatest(abs(ga - gl) - 0.5, 0) ^ 2 / (ha - hl + 2)
+             - greatest(abs(ga) - 0.5, 0) ^ 2 / (ha + 2) AS gain FROM c WHERE hl < ha)
+SELECT feature, x AS cut, round(gain, 4) AS gain, round(-sign(gl) * greatest(abs(gl) - 0.5, 0) / (hl + 2), 6) AS left_value,
+       round(-sign(ga - gl) * greatest(abs(ga - gl) - 0.5, 0) / (ha - hl + 2), 6) AS right_value
+FROM s ORDER BY s.gain DESC, feature, x LIMIT 1"""
+
+
+@query("gbt_first_split", _FIRST_SPLIT_SQL)
+def gbt_first_split(spark, sf):
+    """The best first split of the quantity of a line, with the values of its two leaves."""
+    lines = table(spark, sf, "lineitem").select(
+        F.col("l_quantity").alias("y"), F.round(F.col("l_discount") * 100).alias("discount"), F.round(F.col("l_tax") * 100).alias("tax"),
+        F.year("l_shipdate").cast("double").alias("year"))
+    s = histogram_trees.Settings(learning_rate=1.0, n_estimators=1, max_depth=1, reg_alpha=0.5, reg_lambda=2.0)
+    found = histogram_trees.fit(lines, ["discount", "tax", "year"], settings=s)
+    tree = found.trees[0]
+    row = (found.features[tree.feature[0]], found.cuts[tree.feature[0]][tree.cut[0]], tree.gain[0], *tree.value[1:])
+    return spark.createDataFrame([row], "feature string, cut double, gain double, left_value double, right_value double").withColumns({
+        "gain": F.round("gain", 4), "left_value": F.round("left_value", 6), "right_value": F.round("right_value", 6)})
+
+
 @query("gbt_tune")
 def gbt_tune(spark, sf):
     """Seeded random candidates over expanding folds."""
@@ -125,6 +181,54 @@ def feature_rank(spark, sf):
     return spark.createDataFrame([(c, c in kept) for c in columns], "feature string, kept boolean")
 
 
+def _stored_and_loaded(model, rows, config):
+    """Train, store in a new folder, load and score: what the loaded model says about every row."""
+    folder = f"{shared_folder(rows.sparkSession)}/model-{uuid4().hex}"
+    jobs.run_train(model, rows, config, folder)
+    return jobs.run_predict_stored(folder, rows)
+
+
+@query("stored_seasonal_naive", naive_sql(SUPP_SQL, 7))
+def stored_seasonal_naive(spark, sf):
+    panel = splits.add_split(daily_supp(spark, sf), *DAILY_MARKERS)
+    return _stored_and_loaded("seasonal_naive", panel, {"seasonal_period": 7})
+
+
+@query("stored_monthly_projection", monthly_sql())
+def stored_monthly_projection(spark, sf):
+    whole = splits.add_split(daily_flag(spark, sf), *DAILY_MARKERS, keep_later=True)
+    return rounded(_stored_and_loaded("monthly_projection", whole, {"observation": {"min_days": 1, "max_days": 4}}))
+
+
+_STORED = {
+    "sarima": {"seasonal_period": 7, "search": {"p": [1, 2], "q": [0, 1], "P": [0, 1], "D": [0, 1], "Q": [0]}},
+    "sarimax": {"seasonal_period": 7, "search": {"p": [1, 2], "P": [0, 1], "D": [0]},
+                "features": {"fourier_weekly_K": 2, "drop_columns": ["cal_hour", "cyc_hour_sin", "cyc_hour_cos"]}},
+    "prophet": {"prophet_params": {"weekly_seasonality": True}},
+    "xgboost": {"engine": "histogram", "features": DAILY_FEATURES, "params": {**_SECOND_ORDER, "n_estimators": 10}},
+    "lstm": {"window": 14, "regressor": {"regParam": 0.01}},
+}
+
+
+def _register_stored(model):
+    @query(f"stored_{model}")
+    def run(spark, sf):
+        return rounded(_stored_and_loaded(model, _daily(spark, sf), _STORED[model]))
+
+
+for _model in _STORED:
+    _register_stored(_model)
+
+
+@query("stored_live")
+def stored_live(spark, sf):
+    """Live snapshot of every return flag as of a moment, from a stored model and a cut history."""
+    folder = f"{shared_folder(spark)}/model-{uuid4().hex}"
+    rows = _daily(spark, sf)
+    jobs.run_train("lstm", rows, _STORED["lstm"], folder)
+    return jobs.run_live(folder, rows, "1 DAY", pricing({}), focus="2001-06-30 00:00:00").drop("history")
+
+
 def _event_stream(spark, sf):
     schema = table(spark, sf, "events").schema
     stream = alerts.file_stream(spark, sf, schema, "events.parquet")

@@ -60,6 +60,7 @@ class Grid:
         m = max(o[6] for o in self.orders)
         reach = max([o[0] + o[2] for o in self.orders]) + 2
         self.long = sorted({*range(1, reach + 1), *([] if m == 0 else range(m, m + reach + 1))})
+        self.first_columns = ["one", *[f"l_{k}" for k in self.long], *[f"x_{c}" for c in self.exog]]
         self.columns = [
             "one", *[f"w_lag_{k}" for k in self.ar], *[f"e_lag_{k}" for k in self.ma], *[f"x_{c}" for c in self.exog]
         ]
@@ -93,8 +94,18 @@ def _partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def design(df: DataFrame, grid: Grid, use_log: bool = False) -> DataFrame:
-    """One row per (meter, differencing variant, time) with every regressor."""
+def design(df: DataFrame, grid: Grid, use_log: bool = False, first: DataFrame | None = None) -> DataFrame:
+    """One row per (meter, differencing variant, time) with every regressor.
+
+    ``first`` (id, variant, first) are stored coefficients of the long
+    autoregression; without it they are fitted on the training rows.
+    """
+    return design_and_first(df, grid, use_log, first)[0]
+
+
+def design_and_first(
+    df: DataFrame, grid: Grid, use_log: bool = False, first: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
     ensure_checkpoint_dir(df.sparkSession)
     y = log_forward(F.col("y")) if use_log else F.col("y")
     # One shuffle by meter serves every window below. The count is explicit
@@ -110,25 +121,28 @@ def design(df: DataFrame, grid: Grid, use_log: bool = False) -> DataFrame:
         per_variant.append(F.struct(
             F.lit(i).alias("variant"),
             _differenced("y", weights, by_id).alias("w"),
+            _differenced("y", {k: c for k, c in weights.items() if k}, by_id).alias("past"),
             *[_differenced(c, weights, by_id).alias(f"x_{c}") for c in grid.exog],
         ))
     panel = base.withColumn("_v", F.array(*per_variant)).select("id", "ts", "split", "actual", "y", F.inline("_v"))
 
     series = Window.partitionBy("id", "variant").orderBy("ts")
-    long_names = [f"l_{k}" for k in grid.long]
     lagged = panel.select("*", F.lit(1.0).alias("one"),
                           *[F.lag("w", k).over(series).alias(f"l_{k}") for k in grid.long])
-    fit_rows = lagged.where("split = 'train'")
-    first_stage = ["one", *long_names, *[f"x_{c}" for c in grid.exog]]
-    residual_fit = _solve_rows(moment_matrix(fit_rows, ["id", "variant"], [*first_stage, "w"]), len(first_stage))
-    with_residual = lagged.join(residual_fit, ["id", "variant"], "left").select(
-        *panel.columns, "one", (F.col("w") - dot("beta", first_stage)).alias("e")
+    first_stage = grid.first_columns
+    if first is None:
+        fit_rows = lagged.where("split = 'train'")
+        moments = moment_matrix(fit_rows, ["id", "variant"], [*first_stage, "w"])
+        first = _solve_rows(moments, len(first_stage)).withColumnRenamed("beta", "first").checkpoint()
+    with_residual = lagged.join(first.select("id", "variant", "first"), ["id", "variant"], "left").select(
+        *panel.columns, "one", (F.col("w") - dot("first", first_stage)).alias("e")
     )
-    return with_residual.select(
+    rows = with_residual.select(
         "*",
         *[F.lag("w", k).over(series).alias(f"w_lag_{k}") for k in grid.ar],
         *[F.lag("e", k).over(series).alias(f"e_lag_{k}") for k in grid.ma],
     ).checkpoint()
+    return rows, first
 
 
 def _solve_rows(moments: DataFrame, k: int) -> DataFrame:
@@ -161,15 +175,23 @@ def split_moments(rows: DataFrame, grid: Grid) -> DataFrame:
     ).checkpoint()
 
 
-def fit_candidates(moments: DataFrame, grid: Grid, parts: Sequence[str] = ("train",)) -> DataFrame:
+def fit_candidates(
+    moments: DataFrame, grid: Grid, parts: Sequence[str] = ("train",), screen: DataFrame | None = None
+) -> DataFrame:
     """(id, candidate, orders, beta, rows, status) for every candidate order.
 
+    ``screen`` (id, kept) names the exogenous columns a series may use; others
+    get no coefficient there.
+
     Never raises for a series: a candidate with too few rows or no finite
     solution says so in ``status``.
     """
     k = len(grid.columns)
     orders = [tuple(o) for o in grid.orders]
     used = [grid.used(o) for o in orders]
+    exog_at = {grid.columns.index(f"x_{c}"): c for c in grid.exog}
+    if screen is not None:
+        moments = moments.join(screen.select("id", "kept"), "id", "left")
     variants = [grid.variant_of(o) for o in orders]
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -180,12 +202,15 @@ def fit_candidates(moments: DataFrame, grid: Grid, parts: Sequence[str] = ("trai
                 if not chosen:
                     continue
                 gram = unpack(np.sum([part["moments"] for part in chosen], axis=0), k + 1)
+                kept = getattr(row, "kept", None)
+                barred = set() if kept is None else {j for j, c in exog_at.items() if c not in set(kept)}
                 count = float(sum(part["rows"] for part in chosen))
                 for i, order in enumerate(orders):
                     if variants[i] != row.variant:
                         continue
-                    beta = solve(gram, k, independent(gram, used[i]))[:k]
-                    short = count < 2 * max(1, len(used[i]))
+                    mine = [j for j in used[i] if j not in barred]
+                    beta = solve(gram, k, independent(gram, mine))[:k]
+                    short = count < 2 * max(1, len(mine))
                     status = "too short" if short else "ok" if np.isfinite(beta).all() else "not finite"
                     out.append((row.id, i, *order, row.variant, beta.tolist(), count, status))
             yield pd.DataFrame(out, columns=["id", "candidate", *ORDER_FIELDS, "variant", "beta", "rows", "status"])
@@ -231,9 +256,14 @@ def _roll_forward(y: np.ndarray, w: np.ndarray, e: np.ndarray, x: np.ndarray, st
     return y[start:]
 
 
-def forecast(rows: DataFrame, fits: DataFrame, grid: Grid, known: Sequence[str], ahead: str) -> DataFrame:
+def forecast(
+    rows: DataFrame, fits: DataFrame, grid: Grid, known: Sequence[str], ahead: str, sums_of: bool | None = None
+) -> DataFrame:
     """(id, candidate, ts, actual, y_hat) for the split ``ahead``, multi-step.
 
+    With ``sums_of`` only (id, candidate, error, total): sums of the absolute
+    errors and actual values, the forecasts taken back from logs where it is true.
+
     The grouped call receives the forecast rows plus ``grid.reach()`` rows of
     context per series, never the whole history.
     """
@@ -242,7 +272,7 @@ def forecast(rows: DataFrame, fits: DataFrame, grid: Grid, known: Sequence[str],
     weights = [difference_weights(*v) for v in grid.variants]
 
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({
+        empty = pd.DataFrame({"id": [], "candidate": [], "error": [], "total": []}) if sums_of is not None else pd.DataFrame({
             "id": pd.Series(dtype="str"), "candidate": pd.Series(dtype="int32"),
             "ts": pd.Series(dtype="datetime64[us]"), "actual": pd.Series(dtype="float64"),
             "y_hat": pd.Series(dtype="float64"),
@@ -261,6 +291,14 @@ def forecast(rows: DataFrame, fits: DataFrame, grid: Grid, known: Sequence[str],
         beta = np.array(right["beta"].tolist())
         steps = _roll_forward(y, w, e, np.nan_to_num(x), start, beta, grid, weights[int(key[1])])
         future = left.iloc[start:]
+        if sums_of is not None:
+            actual = future["actual"].to_numpy(dtype=float)
+            missed = np.abs(actual[:, None] - (np.expm1(steps) if sums_of else steps))
+            return pd.DataFrame({
+                "id": key[0], "candidate": right["candidate"].to_numpy(),
+                "error": np.where(np.isnan(missed).all(0), np.nan, np.nansum(missed, axis=0)),
+                "total": np.nan if np.isnan(actual).all() else np.nansum(np.abs(actual)),
+            })
         return pd.DataFrame({
             "id": key[0],
             "candidate": np.repeat(right["candidate"].to_numpy(), len(future)),
@@ -274,7 +312,8 @@ def forecast(rows: DataFrame, fits: DataFrame, grid: Grid, known: Sequence[str],
     n = _partitions(rows)
     needed, usable = needed.repartition(n, "id", "variant"), usable.repartition(n, "id", "variant")
     return needed.groupBy("id", "variant").cogroup(usable.groupBy("id", "variant")).applyInPandas(
-        run, "id string, candidate int, ts timestamp_ntz, actual double, y_hat double"
+        run, "id string, candidate int, " + (
+            "error double, total double" if sums_of is not None else "ts timestamp_ntz, actual double, y_hat double")
     )
 
 
@@ -285,30 +324,29 @@ class ArimaResult:
     coefficients: DataFrame
     predictions: DataFrame
     metrics: DataFrame
+    first: DataFrame | None = None
 
 
 def grid_trials(
-    rows: DataFrame, moments: DataFrame, grid: Grid, use_log: bool = False, lengths: DataFrame | None = None
+    rows: DataFrame, moments: DataFrame, grid: Grid, use_log: bool = False, lengths: DataFrame | None = None,
+    screen: DataFrame | None = None,
 ) -> DataFrame:
     """Validation WAPE of every admissible candidate, per meter.
 
     ``lengths`` (id, candidate) restricts each meter to its admissible orders.
     """
-    fits = fit_candidates(moments, grid)
+    fits = fit_candidates(moments, grid, screen=screen)
     if lengths is not None:
         fits = fits.join(lengths.select("id", "candidate"), ["id", "candidate"], "left_semi")
-    ahead = forecast(rows, fits, grid, ("train",), "val")
-    guess = log_inverse(F.col("y_hat")) if use_log else F.col("y_hat")
-    scored = ahead.where(F.col("actual").isNotNull()).groupBy("id", "candidate").agg(
-        safe_ratio(F.sum(F.abs(F.col("actual") - guess)), F.sum(F.abs("actual"))).alias("WAPE")
-    )
+    ahead = forecast(rows, fits, grid, ("train",), "val", sums_of=use_log)
+    scored = ahead.select("id", "candidate", safe_ratio(F.col("error"), F.col("total")).alias("WAPE"))
     return fits.drop("beta").join(scored, ["id", "candidate"], "left")
 
 
 def one_step(rows: DataFrame, coefficients: DataFrame, grid: Grid, use_log: bool = False) -> DataFrame:
     """In-sample one-step predictions from stored coefficients, column maths only."""
     joined = rows.join(coefficients.select("id", "variant", "beta"), ["id", "variant"])
-    guess = F.col("y") - F.col("w") + dot("beta", grid.columns)
+    guess = dot("beta", grid.columns) - F.col("past")  # needs no value of the row itself
     return joined.select(
         "id", "ts", "split", F.col("actual").alias("y"), (log_inverse(guess) if use_log else guess).alias("y_hat")
     )
@@ -321,29 +359,38 @@ def train(
     trend: str = "c",
     use_log: bool = False,
     lengths: DataFrame | None = None,
+    method: str = "two-stage",
+    screen: DataFrame | None = None,
 ) -> ArimaResult:
     """Choose orders by validation WAPE, refit on train and validation, predict.
 
+    ``method`` "css" refines the refit by conditional sums of squares.
+
     Train and validation get one-step predictions of the refitted model, test
     gets a multi-step forecast.
     """
     grid = Grid(orders, exog, trend)
-    rows = design(df, grid, use_log)
+    rows, first = design_and_first(df, grid, use_log)
     moments = split_moments(rows, grid)
-    trials = grid_trials(rows, moments, grid, use_log, lengths).checkpoint()
+    trials = grid_trials(rows, moments, grid, use_log, lengths, screen).checkpoint()
     best = best_candidate(trials.where("status = 'ok'"), ["id"])
     refit = (
-        fit_candidates(moments, grid, ("train", "val"))
+        fit_candidates(moments, grid, ("train", "val"), screen)
         .join(best.select("id", "candidate"), ["id", "candidate"], "left_semi")
         .checkpoint()
     )
+    if method == "css":
+        from loadweave.plans import css
+
+        refit = css.refine(rows.where("split <> 'test'"), refit, grid)
+        rows = css.with_own_residuals(rows, refit, grid)
     inside = one_step(rows.where("split <> 'test'"), refit, grid, use_log)
     outside = forecast(rows, refit, grid, ("train", "val"), "test")
     guess = log_inverse(F.col("y_hat")) if use_log else F.col("y_hat")
     test = outside.select("id", "ts", F.lit("test").alias("split"), F.col("actual").alias("y"), guess.alias("y_hat"))
     predictions = inside.unionByName(test)
     finite = predictions.where(F.col("y_hat").isNotNull() & ~F.isnan("y_hat"))
-    return ArimaResult(trials, best, refit, predictions, score(finite, "id", "split"))
+    return ArimaResult(trials, best, refit, predictions, score(finite, "id", "split"), first)
 
 
 def batch_summary(result: ArimaResult) -> DataFrame:

@@ -2,20 +2,51 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
 from typing import Any
 
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, functions as F
 
 from loadweave.functions.metrics import score
-from loadweave.operators.features import build_features, feature_splits, model_rows
-from loadweave.operators.least_squares import usable_features
+from loadweave.operators.features import build_features, feature_splits, longest_reach, model_rows
+from loadweave.operators.least_squares import independent_per_series, usable_features
 from loadweave.operators.selection import (
-    QUICK_ORDERS, QUICK_SEASONAL, best_candidate, candidates_per_series, order_grid,
+    ORDER_FIELDS, QUICK_ORDERS, QUICK_SEASONAL, best_candidate, candidates_per_series, order_grid,
 )
+from loadweave.operators.series import readings_and_ahead
 from loadweave.operators.splits import fold_table, quick_history
-from loadweave.plans import additive, arima, baselines, boosted, sequence
+from loadweave.plans import additive, arima, baselines, boosted, css, histogram_trees, sequence
 from loadweave.plans.registry import ModelInfo, TrainResult, register
+from loadweave.sources.artifacts import Stored, require_columns
+
+
+def _origin(df: DataFrame, config: Mapping[str, Any]) -> str | None:
+    """Start of the Fourier phase, fixed at training so that later rows have the same one."""
+    first = config.get("origin") or df.agg(F.min("ts")).first()[0]
+    return None if first is None else str(first)
+
+
+def _with_split(df: DataFrame) -> DataFrame:
+    """A series to be scored need not be tagged."""
+    return df if "split" in df.columns else df.withColumn("split", F.lit(None).cast("string"))
+
+
+def _plain(config: Mapping[str, Any]) -> dict[str, Any]:
+    """The configuration as it goes through a manifest."""
+    return json.loads(json.dumps(dict(config), default=str))
+
+
+class _Baseline:
+    """Nothing is fitted: the configuration is the model."""
+
+    def stored(self, result: TrainResult, df: DataFrame, config: Mapping[str, Any]) -> Stored:
+        return Stored(self.info.name, [], config=_plain(config))
+
+    def predict_stored(self, kept: Stored, df: DataFrame) -> DataFrame:
+        return self.predict(None, _with_split(df), kept.config)
 
 
 def _quick(config: Mapping[str, Any]) -> bool:
@@ -27,7 +58,7 @@ def _no_tuning(name: str):
 
 
 @register
-class SeasonalNaive:
+class SeasonalNaive(_Baseline):
     info = ModelInfo("seasonal_naive", "Seasonal naive baseline", "Repeats the value of one season ago.",
                      {"seasonal_period": 24}, tunable=False)
 
@@ -45,9 +76,12 @@ class SeasonalNaive:
             across_splits=bool(config.get("across_splits")),
         )
 
+    def reach(self, kept: Stored) -> int:
+        return int(kept.config.get("seasonal_period", 24))
+
 
 @register
-class MonthlyProjection:
+class MonthlyProjection(_Baseline):
     info = ModelInfo("monthly_projection", "Monthly projection baseline",
                      "Scales the use so far to the length of the month.", {"observation": {"min_days": 3}, "keep_later_rows": True}, tunable=False)
 
@@ -66,6 +100,9 @@ class MonthlyProjection:
             min_coverage=float(config.get("min_actual_coverage", 0.95)),
         )
 
+    def reach(self, kept: Stored) -> None:
+        return None
+
 
 class _Arima:
     exogenous = False
@@ -80,28 +117,62 @@ class _Arima:
             }
         orders = order_grid(config.get("search") or {}, int(config.get("seasonal_period", 24)), quick)
         if not self.exogenous:
-            return df, orders, [], None
+            return df, orders, [], None, None
         rows, columns = feature_splits(df, config.get("features"), origin=config.get("origin"))
-        # constant and collinear columns would act as an intercept or make the fit ambiguous
-        columns = usable_features(rows.where("split = 'train'"), columns)
+        # constant and collinear columns would act as an intercept or make the fit ambiguous, in all series or in one
+        training = rows.where("split = 'train'")
+        columns = usable_features(training, columns)
+        screen = independent_per_series(training, ["id"], columns).checkpoint() if columns else None
         lengths = rows.where("split = 'train'").groupBy("id").agg(F.count("*").alias("n"))
-        return rows, orders, columns, candidates_per_series(lengths, orders)
+        return rows, orders, columns, candidates_per_series(lengths, orders), screen
 
     def train(self, df: DataFrame, config: Mapping[str, Any]) -> TrainResult:
-        rows, orders, exog, admitted = self._setup(df, config)
-        out = arima.train(rows, orders, exog, str(config.get("trend", "c")), bool(config.get("use_log1p")), admitted)
-        return TrainResult(out.metrics, out.predictions, out.coefficients, out.trials, out.best)
+        rows, orders, exog, admitted, screen = self._setup(df, config)
+        out = arima.train(rows, orders, exog, str(config.get("trend", "c")), bool(config.get("use_log1p")), admitted,
+                          str(config.get("method", "two-stage")), screen)
+        return TrainResult(out.metrics, out.predictions, out.coefficients, out.trials, out.best, (orders, exog, out.first))
+
+    def stored(self, result: TrainResult, df: DataFrame, config: Mapping[str, Any]) -> Stored:
+        orders, exog, first = result.parts
+        grid = arima.Grid(orders, exog, str(config.get("trend", "c")))
+        settings = {
+            "orders": [list(o) for o in orders], "exog": list(exog), "trend": grid.trend,
+            "use_log1p": bool(config.get("use_log1p")), "method": str(config.get("method", "two-stage")), "origin": _origin(df, config) if self.exogenous else None,
+        }
+        table = result.model.select("id", "candidate", *ORDER_FIELDS, "variant", "beta").join(first, ["id", "variant"])
+        return Stored(self.info.name, grid.columns, settings, _plain(config), table, extra={"first": grid.first_columns})
+
+    def predict_stored(self, kept: Stored, df: DataFrame) -> DataFrame:
+        s, rows = kept.settings, _with_split(df)
+        grid = arima.Grid([tuple(o) for o in s["orders"]], s["exog"], s["trend"])
+        require_columns(kept.columns, grid.columns, "The order grid")
+        if self.exogenous:
+            rows, found = build_features(rows, kept.config.get("features"), origin=s["origin"])
+            require_columns(s["exog"], [c for c in found if c in s["exog"]])
+            rows = readings_and_ahead(rows).na.drop(subset=found)
+        rows = arima.design(rows, grid, s["use_log1p"], kept.coefficients.select("id", "variant", "first"))
+        if s["method"] == "css":
+            rows = css.with_own_residuals(rows, kept.coefficients, grid)
+        return arima.one_step(rows, kept.coefficients, grid, s["use_log1p"])
+
+    def reach(self, kept: Stored) -> int | None:
+        s = kept.settings
+        if s["method"] == "css":  # its residuals go back to the first row
+            return None
+        grid = arima.Grid([tuple(o) for o in s["orders"]], s["exog"], s["trend"])
+        feature_rows = longest_reach(kept.config.get("features") or {}) if self.exogenous else 0
+        return grid.reach() + max(grid.long) + max(max(arima.difference_weights(*v)) for v in grid.variants) + feature_rows
 
     def tune(self, df: DataFrame, config: Mapping[str, Any]) -> tuple[DataFrame, DataFrame]:
-        rows, orders, exog, admitted = self._setup(df, config)
+        rows, orders, exog, admitted, screen = self._setup(df, config)
         grid = arima.Grid(orders, exog, str(config.get("trend", "c")))
         use_log = bool(config.get("use_log1p"))
         design = arima.design(rows, grid, use_log)
-        trials = arima.grid_trials(design, arima.split_moments(design, grid), grid, use_log, admitted)
+        trials = arima.grid_trials(design, arima.split_moments(design, grid), grid, use_log, admitted, screen)
         return trials, best_candidate(trials.where("status = 'ok'"), ["id"])
 
     def predict(self, model: DataFrame, df: DataFrame, config: Mapping[str, Any]) -> DataFrame:
-        rows, orders, exog, _ = self._setup(df, config)
+        rows, orders, exog, *_ = self._setup(df, config)
         grid = arima.Grid(orders, exog, str(config.get("trend", "c")))
         use_log = bool(config.get("use_log1p"))
         return arima.one_step(arima.design(rows, grid, use_log), model, grid, use_log)
@@ -141,6 +212,23 @@ class Additive:
         out = additive.train(df, waves, additive.settings(one), regressors)
         return TrainResult(out.metrics, out.predictions, out.coefficients, out.trials, out.best)
 
+    def stored(self, result: TrainResult, df: DataFrame, config: Mapping[str, Any]) -> Stored:
+        waves, _, regressors = self._parts(config)
+        _, columns = additive.design(df, waves, regressors)
+        table = result.model.select("id", "candidate", "changepoint_scale", "seasonality_scale", "beta")
+        return Stored(self.info.name, columns, {"waves": waves, "regressors": regressors}, _plain(config),
+                      table.join(additive.training_spans(df), "id"))
+
+    def predict_stored(self, kept: Stored, df: DataFrame) -> DataFrame:
+        s, fits = kept.settings, kept.coefficients
+        require_columns(s["regressors"], [c for c in s["regressors"] if c in df.columns])
+        rows, columns = additive.design(_with_split(df), s["waves"], s["regressors"], spans=fits)
+        require_columns(kept.columns, columns)
+        return additive.predict(rows, fits).select("id", "ts", "split", "y", "y_hat")
+
+    def reach(self, kept: Stored) -> int:
+        return 0
+
     def tune(self, df: DataFrame, config: Mapping[str, Any]) -> tuple[DataFrame, DataFrame]:
         waves, one, regressors = self._parts(config)
         out = additive.train(df, waves, additive.settings({**one, **(config.get("tune_grid") or {})}), regressors)
@@ -165,6 +253,10 @@ class Boosted:
     def train(self, df: DataFrame, config: Mapping[str, Any]) -> TrainResult:
         rows, columns = self._rows(df, config)
         params = dict(config.get("params") or {})
+        if config.get("engine") == "histogram":
+            refit = bool((config.get("fit") or {}).get("refit_on_full", True))
+            grown = histogram_trees.train(rows, columns, params, refit=refit)
+            return TrainResult(grown.metrics, grown.predictions, grown.model)
         out = boosted.train(
             rows, columns, boosted.quick_params(params) if _quick(config) else params,
             refit=bool((config.get("fit") or {}).get("refit_on_full", True)),
@@ -187,7 +279,26 @@ class Boosted:
 
     def predict(self, model, df: DataFrame, config: Mapping[str, Any]) -> DataFrame:
         built, columns = build_features(df, config.get("features"), origin=config.get("origin"))
-        return boosted.predict(model, model_rows(built, columns))
+        score_rows = histogram_trees.scored if isinstance(model, histogram_trees.Booster) else boosted.predict
+        return score_rows(model, model_rows(built, columns))
+
+    def stored(self, result: TrainResult, df: DataFrame, config: Mapping[str, Any]) -> Stored:
+        settings = {"origin": _origin(df, config)}
+        if isinstance(result.model, histogram_trees.Booster):
+            return Stored(self.info.name, result.model.features, settings, _plain(config), document=result.model.to_json())
+        assembler = next(s for s in result.model.stages if isinstance(s, VectorAssembler))
+        return Stored(self.info.name, list(assembler.getInputCols()), settings, _plain(config), pipeline=result.model)
+
+    def predict_stored(self, kept: Stored, df: DataFrame) -> DataFrame:
+        built, columns = build_features(_with_split(df), kept.config.get("features"), origin=kept.settings["origin"])
+        require_columns(kept.columns, columns)
+        complete = built.na.drop(subset=columns)
+        if kept.document:
+            return histogram_trees.scored(histogram_trees.Booster.from_json(kept.document), complete)
+        return boosted.predict(kept.pipeline, complete)
+
+    def reach(self, kept: Stored) -> int:
+        return longest_reach(kept.config.get("features") or {})
 
 
 @register
@@ -208,3 +319,19 @@ class Sequences:
     def predict(self, model, df: DataFrame, config: Mapping[str, Any]) -> DataFrame:
         fitted, mean, std = model
         return sequence.predict(fitted, sequence.samples(df, int(config.get("window", 48)), mean, std), mean, std)
+
+    def stored(self, result: TrainResult, df: DataFrame, config: Mapping[str, Any]) -> Stored:
+        fitted, mean, std = result.model
+        window = int(config.get("window", 48))
+        columns = [f"z_lag_{k}" for k in range(window, 0, -1)]  # oldest first
+        return Stored(self.info.name, columns, {"window": window, "mean": mean, "std": std}, _plain(config),
+                      pipeline=PipelineModel(stages=[fitted]))
+
+    def predict_stored(self, kept: Stored, df: DataFrame) -> DataFrame:
+        s = kept.settings
+        require_columns(kept.columns, [f"z_lag_{k}" for k in range(kept.pipeline.stages[-1].numFeatures, 0, -1)], "The regression")
+        rows = sequence.samples(_with_split(df), s["window"], s["mean"], s["std"], ahead=True)
+        return sequence.predict(kept.pipeline, rows, s["mean"], s["std"])
+
+    def reach(self, kept: Stored) -> int:
+        return kept.settings["window"]

@@ -5,15 +5,16 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from typing import Any
 
-from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from loadweave.functions.timeparts import NTZ
 from loadweave.operators.cleaning import require_one_series, select_meters
+from loadweave.operators.series import tail_rows
 from loadweave.operators.splits import add_split
-from loadweave.plans import forecasters, registry  # noqa: F401  (fills the registry)
+from loadweave.plans import forecasters, live, registry  # noqa: F401  (fills the registry)
 from loadweave.plans.registry import TrainResult
 from loadweave.session import ensure_checkpoint_dir
-from loadweave.sources import sinks
+from loadweave.sources import artifacts, sinks
 from loadweave.sources.config import model_config
 from loadweave.sources.readings import load_dataset, load_series, read_raw
 
@@ -55,10 +56,7 @@ def run_train(model: str, series: DataFrame, config: Mapping[str, Any], out: str
     if out:
         sinks.write_metrics(result.metrics, out)
         sinks.write_predictions(result.predictions, out)
-        if isinstance(result.model, PipelineModel):
-            sinks.save_model(result.model, out)
-        elif isinstance(result.model, DataFrame):
-            sinks.write_table(result.model, f"{out}/artifacts/coefficients")
+        artifacts.save(registry.get(model).stored(result, series, config), out)
     return result
 
 
@@ -71,9 +69,65 @@ def run_tune(model: str, series: DataFrame, config: Mapping[str, Any], out: str
 
 
 def run_predict(model: str, fitted: Any, series: DataFrame, config: Mapping[str, Any], out: str | None = None) -> DataFrame:
-    """Score every row of a series with a stored model."""
+    """Score every row of a series with a model in memory."""
     ensure_checkpoint_dir(series.sparkSession)
     scored = registry.get(model).predict(fitted, series, config)
     if out:
         sinks.write_predictions(scored, out)
     return scored
+
+
+def run_predict_stored(folder: str, series: DataFrame, out: str | None = None) -> DataFrame:
+    """Score every row of a series, tagged or not, with the model stored in a folder.
+
+    Raises ``FileNotFoundError`` where no model is stored and ``ColumnsDiffer``
+    if the series does not give the columns the model was fitted on.
+    """
+    spark = series.sparkSession
+    ensure_checkpoint_dir(spark)
+    kept = artifacts.load(spark, folder)
+    scored = registry.get(kept.model).predict_stored(kept, series)
+    if out:
+        sinks.write_predictions(scored, out)
+    return scored
+
+
+def stored_forecaster(kept: artifacts.Stored) -> live.Forecaster:
+    """A stored model as the live plans take one: the series with its ``y_hat``.
+
+    Splits are of no account here: a forecast looks back across them.
+    """
+    model = registry.get(kept.model)
+
+    def apply(df: DataFrame) -> DataFrame:
+        scored = model.predict_stored(kept, df.drop("split")).select("id", "ts", "y_hat")
+        return df.join(scored, ["id", "ts"], "left")
+
+    return apply
+
+
+def run_live(
+    folder: str,
+    series: DataFrame,
+    interval: str,
+    tariff: Mapping[str, float],
+    focus: str | None = None,
+    special_days: Mapping[str, object] | None = None,
+    history: int = 24,
+) -> DataFrame:
+    """One row per meter as of a moment: reading, next forecast of a stored model, cost, alerts, history.
+
+    ``focus`` is the moment (default: each meter's last reading). Only the rows
+    that the shown history and its forecasts look back at are kept: the model's
+    reach, the history and at most one day of slots per meter.
+    """
+    spark = series.sparkSession
+    ensure_checkpoint_dir(spark)
+    kept = artifacts.load(spark, folder)
+    reach = registry.get(kept.model).reach(kept)
+    if kept.model == "monthly_projection":
+        raise ValueError("Monthly projections have no forecast of the next slot")
+    seen = series if focus is None else series.where(F.col("ts") <= F.lit(focus).cast(NTZ))
+    if reach is not None:
+        seen = tail_rows(seen, ["id"], ["ts"], reach + history + 1 + live.slots_per_day(interval))
+    return live.snapshot(seen, stored_forecaster(kept), tariff, interval, special_days=special_days, history=history)

@@ -14,6 +14,14 @@ from loadweave.operators.windows import day_to_date, previous_value
 
 Forecaster = Callable[[DataFrame], DataFrame]
 
+_SECONDS = {"SECOND": 1, "MINUTE": 60, "HOUR": 3600, "DAY": 86_400, "WEEK": 604_800}
+
+
+def slots_per_day(interval: str) -> int:
+    """Slots of a day, at least one, for an interval such as ``30 MINUTE``."""
+    count, unit = interval.split()
+    return -(-86_400 // (int(count) * _SECONDS[unit.upper().removesuffix("S")]))
+
 
 def future_rows(
     df: DataFrame,

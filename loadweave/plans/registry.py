@@ -8,6 +8,8 @@ from typing import Any, Protocol
 
 from pyspark.sql import DataFrame
 
+from loadweave.sources.artifacts import Stored
+
 
 @dataclass(frozen=True)
 class ModelInfo:
@@ -21,13 +23,15 @@ class ModelInfo:
 @dataclass
 class TrainResult:
     """What a training job returns: errors, predictions and, where there is
-    one, the fitted model or its coefficient table."""
+    one, the fitted model or its coefficient table; ``parts`` is what storing
+    needs beside them."""
 
     metrics: DataFrame
     predictions: DataFrame
     model: Any = None
     trials: DataFrame | None = None
     best: DataFrame | None = None
+    parts: Any = None
 
 
 class Forecaster(Protocol):
@@ -41,6 +45,15 @@ class Forecaster(Protocol):
 
     def predict(self, model: Any, df: DataFrame, config: Mapping[str, Any]) -> DataFrame: ...
 
+    def stored(self, result: TrainResult, df: DataFrame, config: Mapping[str, Any]) -> Stored:
+        """What has to be kept so that ``predict_stored`` gives the predictions of ``predict``."""
+
+    def predict_stored(self, kept: Stored, df: DataFrame) -> DataFrame:
+        """Score every row; raises ``ColumnsDiffer`` if the series does not give the stored columns."""
+
+    def reach(self, kept: Stored) -> int | None:
+        """Rows before a row that its forecast looks at; None where it takes the whole history."""
+
 
 _KNOWN: dict[str, Forecaster] = {}
 

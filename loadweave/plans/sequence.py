@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from loadweave.functions.metrics import score
 from loadweave.functions.numeric import destandardise, standardise
+from loadweave.operators.series import readings_and_ahead
 from loadweave.operators.windows import sequences
 
 
@@ -31,10 +32,17 @@ def scale_of(df: DataFrame) -> tuple[float, float]:
     return float(row[0]), float(row[1]) if row[1] else 1.0
 
 
-def samples(df: DataFrame, window: int, mean: float, std: float, grain: str | None = None) -> DataFrame:
-    """Standardised target with its previous ``window`` values as a vector."""
-    scaled = df.where(F.col("y").isNotNull()).withColumn("z", standardise(F.col("y"), F.lit(mean), F.lit(std)))
-    return sequences(scaled, window, ["id"], "ts", "z", grain).withColumn("features", array_to_vector("seq"))
+def samples(
+    df: DataFrame, window: int, mean: float, std: float, grain: str | None = None, ahead: bool = False
+) -> DataFrame:
+    """Standardised target with its previous ``window`` values as a vector.
+
+    Rows without a reading are left out; ``ahead`` keeps those after a meter's
+    last reading, for a forecast.
+    """
+    known = readings_and_ahead(df) if ahead else df.where(F.col("y").isNotNull())
+    scaled = known.withColumn("z", standardise(F.col("y"), F.lit(mean), F.lit(std)))
+    return sequences(scaled, window, ["id"], "ts", "z", grain, ahead).withColumn("features", array_to_vector("seq"))
 
 
 def _regressor(settings: Mapping[str, object]):
