@@ -25,6 +25,7 @@ from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import islice
 from pathlib import Path
 
 import numpy as np
@@ -35,6 +36,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from loadweave.llm.common import stored
 
 _CACHE_CHUNKS = 400_000
+_CACHE_BETWEEN = 100_000  # entries kept from task to task: the first met, which are the frequent ones
 _LATIN = re.compile("[\x00-\u024f]*").fullmatch  # composed already, and lower-cased one by one
 #: A byte's stand-in in byte-level vocabularies: itself if it prints, else the next letter from U+0100 on.
 _PRINTS = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]
@@ -92,6 +94,10 @@ class Tokens:
         self.chunks[chunk] = ids
         return ids
 
+    def trim(self) -> None:
+        """Give memory back between tasks."""
+        self.chunks, self.parts = (dict(islice(d.items(), _CACHE_BETWEEN)) for d in (self.chunks, self.parts))
+
     def __call__(self, text: str | None) -> bytes:
         known = self.chunks.get
         out = []
@@ -145,6 +151,7 @@ def pieces(
             if keep_ids:
                 done["ids"] = [np.frombuffer(i, "<u4").astype(np.int64) for i in out["ids"]]
             yield done
+        tokens.trim()
 
     return rows.mapInPandas(run, schema + (", ids array<long>" if keep_ids else ""))
 
