@@ -322,8 +322,8 @@ def prof_focus(spark, sf):
 
 @query("prof_benchmark", f"""
 WITH t AS (SELECT id, sum(y) AS total FROM ({RAW_SQL}) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5)
-SELECT id, 'Household total' AS series, total AS total_delivered_kwh FROM t UNION ALL
-SELECT id, 'National average (9,019 kWh)', CAST(9019.0 AS DOUBLE) FROM t""")
+SELECT id, 'total' AS series, total AS total_delivered_kwh FROM t UNION ALL
+SELECT id, 'benchmark', CAST(9019.0 AS DOUBLE) FROM t""")
 def prof_benchmark(spark, sf):
     return P.against_benchmark(raw_lines(spark, sf))
 

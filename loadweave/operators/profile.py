@@ -410,17 +410,10 @@ def daily_usage(df: DataFrame, id_col: str = "id", ts: str = "ts", y: str = "y")
 def against_benchmark(
     df: DataFrame, n: int = 5, benchmark: float = NATIONAL_AVERAGE_KWH, id_col: str = "id", y: str = "y"
 ) -> DataFrame:
-    """Top totals beside the constant national average, in long form."""
+    """Top totals, each beside the same benchmark: series ``total`` and ``benchmark``."""
     totals = df.na.drop(subset=[id_col, y]).groupBy(id_col).agg(F.sum(y).alias("total"))
-    top = top_meters(totals, "total", n, id_col)
-    both = F.array(
-        F.struct(F.lit("Household total").alias("series"), F.col("total").alias("total_delivered_kwh")),
-        F.struct(
-            F.lit(f"National average ({benchmark:,.0f} kWh)").alias("series"),
-            F.lit(float(benchmark)).alias("total_delivered_kwh"),
-        ),
-    )
-    return top.select(id_col, F.inline(both))
+    pair = top_meters(totals, "total", n, id_col).withColumn("benchmark", F.lit(float(benchmark)))
+    return pair.unpivot([id_col], ["total", "benchmark"], "series", "total_delivered_kwh")
 
 
 def step_histogram(df: DataFrame, keys: Sequence[str], ts: str, grain: str | None = None) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.feature import VectorAssembler
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 # Fixed names of the three groups.
@@ -14,6 +15,7 @@ HIGH = "High usage"
 VOLATILE = "High usage + high volatility"
 
 INPUTS = ["avg_daily_usage", "std_daily_usage"]
+SAMPLE = 2000  # points that first centres are drawn from
 
 
 def name_groups(centres: list[tuple[float, float]]) -> dict[int, str]:
@@ -23,27 +25,82 @@ def name_groups(centres: list[tuple[float, float]]) -> dict[int, str]:
     return {low: MODERATE, steady: HIGH, volatile: VOLATILE}
 
 
-def best_of(points: DataFrame, groups: int = 3, restarts: int = 25, seed: int = 42) -> KMeansModel:
-    """Restart with different seeds and keep the lowest within-group cost.
+@dataclass
+class Clusters:
+    """Centres of the best start, the cost of every start, and how many passes they took together."""
 
-    The restarts are independent jobs over the persisted points, so a small
-    pool submits several at a time.
-    """
-    def start(i: int) -> KMeansModel:
-        return KMeans(featuresCol="features", predictionCol="cluster_id", k=groups, seed=seed + i).fit(points)
+    centres: np.ndarray
+    costs: np.ndarray
+    passes: int
+
+
+def _first_centres(sample: np.ndarray, groups: int, rng: np.random.Generator) -> np.ndarray:
+    """Spread centres: each next one is drawn by its squared distance to those before."""
+    chosen = [sample[rng.integers(len(sample))]]
+    while len(chosen) < groups:
+        far = ((sample[:, None, :] - np.array(chosen)[None]) ** 2).sum(2).min(1)
+        total = far.sum()
+        chosen.append(sample[rng.choice(len(sample), p=far / total)] if total > 0 else sample[rng.integers(len(sample))])
+    return np.array(chosen)
+
+
+def _pass(points: DataFrame, columns: Sequence[str], centres: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sums, counts, costs) of all clusters of all starts, from one aggregate over (start, cluster)."""
+    starts, groups, width = centres.shape
 
-    with ThreadPoolExecutor(4) as pool:
-        models = list(pool.map(start, range(restarts)))
-    return min(models, key=lambda m: m.summary.trainingCost)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, counts, costs = np.zeros(centres.shape), np.zeros((starts, groups)), np.zeros((starts, groups))
+        for batch in batches:
+            x = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(width)], axis=1)
+            for s in range(starts):
+                d = ((x[:, None, :] - centres[s][None]) ** 2).sum(2)
+                near = d.argmin(1)
+                counts[s] += np.bincount(near, minlength=groups)
+                costs[s] += np.bincount(near, d[np.arange(len(x)), near], groups)
+                for c in range(width):
+                    sums[s, :, c] += np.bincount(near, x[:, c], groups)
+        at = np.arange(starts * groups)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(at), pa.array(counts.ravel()), pa.array(costs.ravel()), *(pa.array(sums[:, :, c].ravel()) for c in range(width))],
+            ["cell", "n", "cost", *[f"sum_{c}" for c in range(width)]])
+
+    fields = ["n", "cost", *[f"sum_{c}" for c in range(width)]]
+    found = points.select(*columns).mapInArrow(run, "cell long, " + ", ".join(f"{f} double" for f in fields))
+    rows = found.groupBy("cell").agg(*[F.sum(f).alias(f) for f in fields]).orderBy("cell").collect()  # starts * groups rows
+    cells = np.array([[row[f] for f in fields] for row in rows]).reshape(starts, groups, len(fields))
+    return cells[:, :, 2:], cells[:, :, 0], cells[:, :, 1].sum(1)
+
+
+def best_of(
+    points: DataFrame, columns: Sequence[str] = INPUTS, groups: int = 3, restarts: int = 25, seed: int = 42, passes: int = 100
+) -> Clusters:
+    """The cheapest of several starts, all moved on by the same passes over the points.
+
+    First centres are drawn from at most ``SAMPLE`` points in the order of a
+    hash; a cluster that loses its points keeps its centre. Ties go to the first
+    start.
+    """
+    rows = points.select(*[F.col(c).cast("double").alias(c) for c in columns]).persist()
+    sample = np.array(rows.orderBy(F.xxhash64(*columns, F.lit(seed)), *columns).limit(SAMPLE).collect(), dtype=float)
+    centres = np.stack([_first_centres(sample, groups, np.random.default_rng([seed, s])) for s in range(restarts)])
+    for done in range(1, passes + 1):
+        sums, counts, costs = _pass(rows, columns, centres)
+        moved = np.where(counts[:, :, None] > 0, sums / np.maximum(counts, 1)[:, :, None], centres)
+        still = np.allclose(moved, centres, rtol=1e-12, atol=0)
+        centres = moved
+        if still:
+            break
+    rows.unpersist()
+    return Clusters(centres[int(np.argmin(costs))], costs, done)
 
 
 def segment_households(usage: DataFrame, restarts: int = 25, seed: int = 42) -> DataFrame:
     """Label each meter of a (id, mean, deviation, days) table."""
     present = usage.where(F.col("avg_daily_usage").isNotNull())
-    points = VectorAssembler(inputCols=INPUTS, outputCol="features").transform(present).persist()
-    if len(points.select("id").limit(3).collect()) < 3:
+    if len(present.select("id").limit(3).collect()) < 3:
         raise ValueError("At least three households are needed.")
-    model = best_of(points, 3, restarts, seed)
-    names = name_groups([tuple(c) for c in model.clusterCenters()])
-    label = F.element_at(F.create_map(*[F.lit(v) for pair in names.items() for v in pair]), F.col("cluster_id"))
-    return model.transform(points).select("id", *INPUTS, "days_observed", label.alias("cluster_label"))
+    centres = best_of(present, INPUTS, 3, restarts, seed).centres
+    names = name_groups([tuple(c) for c in centres])
+    away = [sum(((F.col(c) - float(v)) * (F.col(c) - float(v)) for c, v in zip(INPUTS, centre)), F.lit(0.0)) for centre in centres]
+    label = F.when(F.least(*away) == away[0], names[0]).when(F.least(*away) == away[1], names[1]).otherwise(names[2])
+    return present.select("id", *INPUTS, "days_observed", label.alias("cluster_label"))

@@ -24,6 +24,7 @@ class SequenceResult:
     std: float
     predictions: DataFrame
     metrics: DataFrame
+    rows: DataFrame  # kept in memory until the caller releases them
 
 
 def scale_of(df: DataFrame) -> tuple[float, float]:
@@ -66,7 +67,7 @@ def train(df: DataFrame, window: int, settings: Mapping[str, object] | None = No
     rows = samples(df, window, mean, std, grain).persist()
     model = _regressor(settings or {}).fit(rows.where("split = 'train'"))
     predictions = predict(model, rows, mean, std)
-    return SequenceResult(model, mean, std, predictions, score(predictions, "split"))
+    return SequenceResult(model, mean, std, predictions, score(predictions, "split"), rows)
 
 
 def tune(df: DataFrame, windows: Sequence[int], grid: Mapping[str, Sequence[object]],
@@ -76,7 +77,9 @@ def tune(df: DataFrame, windows: Sequence[int], grid: Mapping[str, Sequence[obje
     for window in windows:
         for values in product(*grid.values()):
             setting = dict(zip(grid, values)) | {"kind": kind}
-            found = train(df, window, setting).metrics.where("split = 'val'").first()
+            result = train(df, window, setting)
+            found = result.metrics.where("split = 'val'").first()
+            result.rows.unpersist()
             trials.append((len(trials), window, json.dumps(setting), float(found["WAPE"]) if found else float("nan"), setting))
     usable = [t for t in trials if t[3] == t[3]]
     if not usable:
