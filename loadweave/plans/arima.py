@@ -272,8 +272,11 @@ def forecast(
     weights = [difference_weights(*v) for v in grid.variants]
 
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"id": [], "candidate": [], "error": [], "total": []}) if sums_of is not None else pd.DataFrame({
-            "id": pd.Series(dtype="str"), "candidate": pd.Series(dtype="int32"),
+        named = {"id": pd.Series(dtype="str"), "candidate": pd.Series(dtype="int32")}
+        empty = pd.DataFrame({
+            **named, "error": pd.Series(dtype="float64"), "total": pd.Series(dtype="float64"),
+        }) if sums_of is not None else pd.DataFrame({
+            **named,
             "ts": pd.Series(dtype="datetime64[us]"), "actual": pd.Series(dtype="float64"),
             "y_hat": pd.Series(dtype="float64"),
         })
