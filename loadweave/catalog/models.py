@@ -91,10 +91,10 @@ def gbt_train(spark, sf):
     return boosted.train(rows, columns, _TREES).metrics
 
 
-#: Every parameter of the second-order booster is set; early stopping decides on the number of trees.
+#: Every parameter of the second-order booster is set; at most twelve trees, as each takes several Spark jobs.
 _SECOND_ORDER = {
-    "learning_rate": 0.2, "n_estimators": 5000, "max_leaves": 24, "min_child_weight": 5.0, "gamma": 0.5, "reg_alpha": 1.0,
-    "reg_lambda": 2.0, "subsample": 0.9, "colsample_bytree": 0.8, "max_bin": 128, "random_state": 42, "early_stopping_rounds": 10,
+    "learning_rate": 0.3, "n_estimators": 12, "max_leaves": 16, "min_child_weight": 5.0, "gamma": 0.5, "reg_alpha": 1.0,
+    "reg_lambda": 2.0, "subsample": 0.9, "colsample_bytree": 0.8, "max_bin": 128, "random_state": 42, "early_stopping_rounds": 4,
 }
 
 
@@ -205,7 +205,7 @@ _STORED = {
     "sarimax": {"seasonal_period": 7, "search": {"p": [1, 2], "P": [0, 1], "D": [0]},
                 "features": {"fourier_weekly_K": 2, "drop_columns": ["cal_hour", "cyc_hour_sin", "cyc_hour_cos"]}},
     "prophet": {"prophet_params": {"weekly_seasonality": True}},
-    "xgboost": {"engine": "histogram", "features": DAILY_FEATURES, "params": {**_SECOND_ORDER, "n_estimators": 10}},
+    "xgboost": {"engine": "histogram", "features": DAILY_FEATURES, "params": {**_SECOND_ORDER, "n_estimators": 2}, "fit": {"refit_on_full": False}},
     "lstm": {"window": 14, "regressor": {"regParam": 0.01}},
 }
 
