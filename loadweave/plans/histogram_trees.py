@@ -414,12 +414,13 @@ def train(
 
     The validation errors come from the model before the refit, as their label says.
     """
-    s = Settings.of(params or {})
-    fitting = rows.where("split <> 'test'").withColumn("_is_val", F.col("split") == "val")
+    s, kept = Settings.of(params or {}), rows.persist()
+    fitting = kept.where("split <> 'test'").withColumn("_is_val", F.col("split") == "val")
     has_val = not fitting.where("_is_val").isEmpty()
     first = fit(fitting, features, y, s, "_is_val" if has_val else None)
     again = refit and has_val
     model = fit(fitting, features, y, replace(s, n_estimators=len(first.trees))) if again else first
+    kept.unpersist()
     predictions = scored(model, rows, y)
     part = F.when(F.col("split") == "test", "Test").when(F.lit(again) | (F.col("split") == "train"), "Train+Val" if again else "Train")
     parts = predictions.withColumn("part", part).where(F.col("part").isNotNull())
