@@ -9,6 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from loadweave.session import ensure_checkpoint_dir
+
 # Fixed names of the three groups.
 MODERATE = "Moderate usage"
 HIGH = "High usage"
@@ -16,6 +18,7 @@ VOLATILE = "High usage + high volatility"
 
 INPUTS = ["avg_daily_usage", "std_daily_usage"]
 SAMPLE = 2000  # points that first centres are drawn from
+POINTS = 50_000  # points that a task of a pass looks at
 
 
 def name_groups(centres: list[tuple[float, float]]) -> dict[int, str]:
@@ -66,8 +69,8 @@ def _pass(points: DataFrame, columns: Sequence[str], centres: np.ndarray) -> tup
 
     fields = ["n", "cost", *[f"sum_{c}" for c in range(width)]]
     found = points.select(*columns).mapInArrow(run, "cell long, " + ", ".join(f"{f} double" for f in fields))
-    rows = found.groupBy("cell").agg(*[F.sum(f).alias(f) for f in fields]).orderBy("cell").collect()  # starts * groups rows
-    cells = np.array([[row[f] for f in fields] for row in rows]).reshape(starts, groups, len(fields))
+    rows = found.groupBy("cell").agg(*[F.sum(f).alias(f) for f in fields]).collect()  # starts * groups rows
+    cells = np.array([row[1:] for row in sorted(rows)]).reshape(starts, groups, len(fields))
     return cells[:, :, 2:], cells[:, :, 0], cells[:, :, 1].sum(1)
 
 
@@ -78,17 +81,21 @@ def best_of(
 
     First centres are drawn from at most ``SAMPLE`` points in the order of a
     hash; a cluster that loses its points keeps its centre. Ties go to the first
-    start.
+    start. A start that no longer moves is left out of later passes. The points are
+    dealt to as many tasks as they fill, as there may be a hundred passes.
     """
-    rows = points.select(*[F.col(c).cast("double").alias(c) for c in columns]).persist()
+    chosen = points.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    rows = chosen.repartition(max(1, -(-chosen.count() // POINTS))).persist()
     sample = np.array(rows.orderBy(F.xxhash64(*columns, F.lit(seed)), *columns).limit(SAMPLE).collect(), dtype=float)
     centres = np.stack([_first_centres(sample, groups, np.random.default_rng([seed, s])) for s in range(restarts)])
+    costs, moving = np.zeros(restarts), np.arange(restarts)
     for done in range(1, passes + 1):
-        sums, counts, costs = _pass(rows, columns, centres)
-        moved = np.where(counts[:, :, None] > 0, sums / np.maximum(counts, 1)[:, :, None], centres)
-        still = np.allclose(moved, centres, rtol=1e-12, atol=0)
-        centres = moved
-        if still:
+        sums, counts, costs[moving] = _pass(rows, columns, centres[moving])
+        moved = np.where(counts[:, :, None] > 0, sums / np.maximum(counts, 1)[:, :, None], centres[moving])
+        still = np.isclose(moved, centres[moving], rtol=1e-12, atol=0).all((1, 2))
+        centres[moving] = moved
+        moving = moving[~still]
+        if not len(moving):
             break
     rows.unpersist()
     return Clusters(centres[int(np.argmin(costs))], costs, done)
@@ -96,7 +103,8 @@ def best_of(
 
 def segment_households(usage: DataFrame, restarts: int = 25, seed: int = 42) -> DataFrame:
     """Label each meter of a (id, mean, deviation, days) table."""
-    present = usage.where(F.col("avg_daily_usage").isNotNull())
+    ensure_checkpoint_dir(usage.sparkSession)
+    present = usage.where(F.col("avg_daily_usage").isNotNull()).checkpoint()  # one row per meter, from all readings
     if len(present.select("id").limit(3).collect()) < 3:
         raise ValueError("At least three households are needed.")
     centres = best_of(present, INPUTS, 3, restarts, seed).centres
