@@ -73,14 +73,21 @@ def unpack(moments: Sequence[float], k: int) -> np.ndarray:
     return m + np.triu(m, 1).T
 
 
-def independent(gram: np.ndarray, chosen: Sequence[int], tol: float = 1e-10) -> list[int]:
+def independent(
+    gram: np.ndarray, chosen: Sequence[int], tol: float = 1e-10, known: dict[tuple[int, ...], bool] | None = None
+) -> list[int]:
     """Columns of ``chosen`` that are not zero or a combination of earlier ones.
 
     One Gram-Schmidt sweep on the matrix of products; a column is kept if the
-    part of its length that is new exceeds ``tol``.
+    part of its length that is new exceeds ``tol``. ``known`` keeps what was
+    found out for one matrix and ``tol``, for further choices of its columns.
     """
     kept: list[int] = []
+    known = {} if known is None else known
     for j in chosen:
+        if (new := known.get((*kept, j))) is not None:
+            kept += [j] * new
+            continue
         length = gram[j, j]
         if length <= 0:
             continue
@@ -88,6 +95,7 @@ def independent(gram: np.ndarray, chosen: Sequence[int], tol: float = 1e-10) ->
         if kept:
             block = gram[np.ix_(kept, kept)]
             rest = length - gram[j, kept] @ np.linalg.lstsq(block, gram[kept, j], rcond=None)[0]
+        known[*kept, j] = bool(rest / length > tol)
         if rest / length > tol:
             kept.append(j)
     return kept

@@ -176,10 +176,13 @@ def split_moments(rows: DataFrame, grid: Grid) -> DataFrame:
 
 
 def fit_candidates(
-    moments: DataFrame, grid: Grid, parts: Sequence[str] = ("train",), screen: DataFrame | None = None
+    moments: DataFrame, grid: Grid, parts: Sequence[str] = ("train",), screen: DataFrame | None = None,
+    only: DataFrame | None = None,
 ) -> DataFrame:
     """(id, candidate, orders, beta, rows, status) for every candidate order.
 
+    ``only`` (id, candidate), one row per series, names the one order to fit there.
+
     ``screen`` (id, kept) names the exogenous columns a series may use; others
     get no coefficient there.
 
@@ -192,6 +195,8 @@ def fit_candidates(
     exog_at = {grid.columns.index(f"x_{c}"): c for c in grid.exog}
     if screen is not None:
         moments = moments.join(screen.select("id", "kept"), "id", "left")
+    if only is not None:
+        moments = moments.join(only.select("id", F.col("candidate").alias("only")), "id")
     variants = [grid.variant_of(o) for o in orders]
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -205,11 +210,12 @@ def fit_candidates(
                 kept = getattr(row, "kept", None)
                 barred = set() if kept is None else {j for j, c in exog_at.items() if c not in set(kept)}
                 count = float(sum(part["rows"] for part in chosen))
+                known: dict[tuple[int, ...], bool] = {}
                 for i, order in enumerate(orders):
-                    if variants[i] != row.variant:
+                    if variants[i] != row.variant or getattr(row, "only", i) != i:
                         continue
                     mine = [j for j in used[i] if j not in barred]
-                    beta = solve(gram, k, independent(gram, mine))[:k]
+                    beta = solve(gram, k, independent(gram, mine, known=known))[:k]
                     short = count < 2 * max(1, len(mine))
                     status = "too short" if short else "ok" if np.isfinite(beta).all() else "not finite"
                     out.append((row.id, i, *order, row.variant, beta.tolist(), count, status))
@@ -241,19 +247,23 @@ def _roll_forward(y: np.ndarray, w: np.ndarray, e: np.ndarray, x: np.ndarray, st
 
     ``y`` holds one column per candidate; unknown residuals are zero.
     """
-    ar = beta[:, 1:1 + len(grid.ar)]
-    ma = beta[:, 1 + len(grid.ar):1 + len(grid.ar) + len(grid.ma)]
+    ar = beta[:, 1:1 + len(grid.ar)].T
+    ma = beta[:, 1 + len(grid.ar):1 + len(grid.ar) + len(grid.ma)].T
     xs = beta[:, 1 + len(grid.ar) + len(grid.ma):]
-    for t in range(start, len(y)):
-        step = beta[:, 0] + xs @ x[t]
-        for j, k in enumerate(grid.ar):
-            step = step + np.where(ar[:, j] != 0, ar[:, j] * (w[t - k] if t >= k else np.nan), 0.0)
-        for j, k in enumerate(grid.ma):
-            step = step + np.where(ma[:, j] != 0, ma[:, j] * (e[t - k] if t >= k else np.nan), 0.0)
+    lags = {k: c for k, c in weights.items() if k}
+    before = max([0, *grid.ar, *grid.ma, *lags])  # unknown rows ahead of the first, so that every lag has a row
+    y, w, e = (np.vstack([np.full((before, v.shape[1]), np.nan), v]) for v in (y, w, e))
+    ar_rows, ma_rows, past_rows = (np.array(k, dtype=int) for k in (grid.ar, grid.ma, list(lags)))
+    has_ar, has_ma, shares = ar != 0, ma != 0, np.array(list(lags.values()))[:, None]
+    for t in range(start + before, len(y)):
+        step = beta[:, 0] + xs @ x[t - before]
+        if len(ar_rows):
+            step = step + np.where(has_ar, ar * w[t - ar_rows], 0.0).sum(0)
+        if len(ma_rows):
+            step = step + np.where(has_ma, ma * e[t - ma_rows], 0.0).sum(0)
         w[t] = step
-        past = sum(c * (y[t - k] if t >= k else np.nan) for k, c in weights.items() if k)
-        y[t] = step - past
-    return y[start:]
+        y[t] = step - (shares * y[t - past_rows]).sum(0) if lags else step
+    return y[start + before:]
 
 
 def forecast(
@@ -377,11 +387,7 @@ def train(
     moments = split_moments(rows, grid)
     trials = grid_trials(rows, moments, grid, use_log, lengths, screen).checkpoint()
     best = best_candidate(trials.where("status = 'ok'"), ["id"])
-    refit = (
-        fit_candidates(moments, grid, ("train", "val"), screen)
-        .join(best.select("id", "candidate"), ["id", "candidate"], "left_semi")
-        .checkpoint()
-    )
+    refit = fit_candidates(moments, grid, ("train", "val"), screen, best).checkpoint()
     if method == "css":
         from loadweave.plans import css
 

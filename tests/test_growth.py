@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 
 from loadweave.operators import quantiles, series
-from loadweave.plans import segments
+from loadweave.plans import arima, segments
 from tests.helpers import frame
 
 
@@ -51,3 +51,16 @@ def test_starts_that_no_longer_move_leave_the_passes(spark, monkeypatch):
     assert {parts for _, parts in seen} == {1}
     near = ((x[:, None, :] - found.centres[None]) ** 2).sum(2).min(1)
     assert near.sum() == pytest.approx(found.costs.min(), rel=1e-9)
+
+
+def test_the_refit_fits_the_chosen_order_only(spark):
+    rng = np.random.default_rng(8)
+    days = pd.date_range("2023-01-01", periods=80, freq="D")
+    pdf = pd.concat([pd.DataFrame({"id": i, "ts": days, "y": rng.normal(5, 1, 80)}) for i in ("a", "b")], ignore_index=True)
+    pdf["split"] = np.where(pdf["ts"] <= days[59], "train", "val")
+    grid = arima.Grid([(1, 0, 0, 0, 0, 0, 7), (2, 0, 1, 0, 0, 0, 7), (1, 0, 1, 1, 0, 0, 7)])
+    moments = arima.split_moments(arima.design(frame(spark, pdf), grid), grid)
+    only = spark.createDataFrame([("a", 2), ("b", 0)], "id string, candidate int")
+    every = {(r.id, r.candidate): r for r in arima.fit_candidates(moments, grid, ("train", "val")).collect()}
+    chosen = arima.fit_candidates(moments, grid, ("train", "val"), only=only).collect()
+    assert {(r.id, r.candidate): r for r in chosen} == {k: every[k] for k in (("a", 2), ("b", 0))} and len(every) == 6
