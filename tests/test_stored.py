@@ -106,6 +106,27 @@ def test_other_columns_are_refused(spark, tmp_path):
         jobs.run_predict_stored(str(tmp_path / "nothing"), rows)
 
 
+def test_a_seasonal_fit_with_features_reads_its_source_once(spark, tmp_path):
+    """Every pass of the screens and fits used to read the readings behind the slots again."""
+    read, halves = spark.sparkContext.accumulator(0), series(spark).withColumn("y", F.explode(F.array(F.col("y") / 4, F.col("y") * 3 / 4)))
+
+    def counted(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    readings = halves.select("id", "ts", "split", "y").localCheckpoint().mapInPandas(counted, "id string, ts timestamp_ntz, split string, y double")
+    slots = readings.groupBy("id", "ts", "split").agg(F.sum("y").alias("y"))
+    rows = 2 * 2 * 96
+    result = jobs.run_train("sarimax", slots, CONFIGS["sarimax"], str(tmp_path))
+    assert read.value == rows
+    got = by_row(jobs.run_predict_stored(str(tmp_path), slots))
+    assert read.value == 2 * rows
+    want = by_row(jobs.run_predict("sarimax", result.model, slots, CONFIGS["sarimax"]))
+    assert read.value <= 3 * rows and want
+    assert all(got[k] == pytest.approx(v, rel=1e-9, abs=1e-9) for k, v in want.items())
+
+
 def test_reach_is_what_a_forecast_looks_at(spark, tmp_path):
     kept = artifacts.Stored("lstm", [], {"window": 9})
     assert registry.get("lstm").reach(kept) == 9
